@@ -92,6 +92,11 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, count: str, order: str | None
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """``df``, a written table whose rows of one key are equal, with one row of each. Without repeated keys no row moves."""
+    return df if df.groupBy(key).count().filter("count > 1").isEmpty() else df.dropDuplicates([key])
+
+
 # ----------------------------------------------------------------- hashing
 
 

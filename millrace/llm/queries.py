@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact, mixing, quality
+from millrace.llm import bpe, exact, lm, media, mixing, near, quality, suffix, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -29,11 +37,25 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.fingerprints(media.render(_table(spark, sf_dir, "embeddings")))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexities(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing,
-    "op2_bpe": op2_bpe,
-    "op5_quality": op5_quality,
-    "op6_exact_dedup": op6_exact_dedup,
+    f.__name__: f
+    for f in (op1_mixing, op2_bpe, op3_near_dedup, op4_warc, op5_quality, op6_exact_dedup, op7_url_filter, op8_suffix_dedup, op9_media, op10_lm_scoring)
 }
 
 
@@ -57,6 +79,8 @@ ORACLE_SQL: dict[str, str] = {
           FROM q)
         SELECT doc_id, source, n_tokens, vft AS virtual_finish, running AS running_tokens
         FROM r WHERE running <= (SELECT (sum(n_tokens)::BIGINT * {mixing.BUDGET_PERMILLE}) // 1000 FROM t)""",
+    "op4_warc": warc.SQL,
+    "op7_url_filter": urls.SQL,
     "op6_exact_dedup": """
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS group_doc_id,
                (count(*) OVER (PARTITION BY text))::BIGINT AS copies,
