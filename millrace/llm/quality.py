@@ -24,7 +24,7 @@ from millrace.llm.common import SIGNS, TMP, Words, mix, pieces, text_of, words
 BITS = 17  # hashed words
 RANK = 6
 #: Bound of the training set: labelled rows with the least hashes of doc_id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 EPOCHS = 6
 #: A document is kept if P(good) is at least this and P(toxic) at most that.
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.5
@@ -169,14 +169,16 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features as 32-bit integers and the values of the last, dense ones; all others are 1."""
+    tail = _STATS + 2
     for batch in batches:
         for a, b in pieces(batch.column(0)):
             part = batch.slice(a, b - a)
             rows, feats, vals = features(part.column(0), part.column(1), part.column(2))
-            off = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
-            f = pa.ListArray.from_arrays(pa.array(off), pa.array(feats.astype(np.int32)))
-            x = pa.ListArray.from_arrays(pa.array(off), pa.array(vals))
-            yield pa.RecordBatch.from_arrays([f, x, part.column(3), part.column(4)], names=["f", "x", "good", "toxic"])
+            off = np.searchsorted(rows, np.arange(b - a + 1)).tolist()
+            f = [feats[x:y].astype(np.int32).tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
+            x = [vals[y - tail : y].tobytes() for y in off[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(x, pa.binary()), *part.columns[3:]], names=["f", "x", *part.schema.names[3:]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
@@ -189,14 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, epochs:
     known = known.agg(F.min("quality").cast("int").alias("good"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = _inputs(docs).filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")  # bounded by max_rows
-    found = rows.select("text", "source", "lang", "good", "toxic", F.xxhash64("doc_id", "text").alias(TMP + "o"))
-    table = found.select("text", "source", "lang", "good", "toxic").mapInArrow(_featurise, "f array<int>, x array<float>, good int, toxic int").toPandas()
-    n = len(table)
+    made = rows.select("text", "source", "lang", "good", "toxic", "doc_id").mapInArrow(_featurise, "f binary, x binary, good int, toxic int, doc_id long")
+    table = made.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "f", "x")])  # bounded by max_rows; one order whatever the partitions
+    n = table.num_rows
     if not n:
         return Model(np.array([9.0, -9.0]), np.zeros((SIZE, 2), np.float32), np.zeros((SIZE, 2 * RANK), np.float32))
-    size = table.f.map(len).to_numpy()
-    y = table[["good", "toxic"]].to_numpy(np.float32)
-    return train(np.repeat(np.arange(n), size), np.concatenate(table.f.to_numpy()).astype(np.int64), np.concatenate(table.x.to_numpy()), y, epochs)
+    feats = [np.frombuffer(x.as_py(), np.int32) for x in table["f"]]
+    size = np.array([len(x) for x in feats])
+    vals = np.ones(size.sum(), np.float32)
+    ends = np.cumsum(size)
+    for end, x in zip(ends.tolist(), table["x"], strict=True):
+        dense = np.frombuffer(x.as_py(), np.float32)
+        vals[end - len(dense) : end] = dense
+    y = np.stack([table[c].to_numpy() for c in ("good", "toxic")], 1).astype(np.float32)
+    return train(np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(feats), vals, y, epochs)
 
 
 def _scorer(model, at: tuple[int, int, int]):
