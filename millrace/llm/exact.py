@@ -1,9 +1,10 @@
 """Exact deduplication by deterministic block naming.
 
 Every text is cut into blocks of a fixed number of bytes. All blocks of all
-documents are range-partitioned and sorted, and a block's integer name is its
-partition's number and its dense rank there: equal blocks get equal names,
-different blocks different ones, with no hash involved. Then adjacent names are
+documents are partitioned and sorted, and a block's integer name is its
+partition's number and its dense rank there: equal blocks get equal names and
+different blocks different ones, as whole blocks are compared; a hash only says
+which partition sorts them. Then adjacent names are
 paired, pairs are sorted and named in the same way, and so on until a document
 is down to one name. (level, name) identifies its text without collisions.
 
@@ -67,7 +68,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     blocks = base.select("doc_id", U1, U2, F.lit(1).cast("long").alias("m"), n.cast("long").alias("n"), cut.alias("cut")).select(
         "doc_id", U1, U2, "m", "n", F.posexplode("cut").alias("i", "block")
     )
-    blocks = blocks.select("doc_id", U1, U2, "m", F.col("i").cast("long"), "n", "block").repartitionByRange("block").sortWithinPartitions("block")
+    blocks = blocks.select("doc_id", U1, U2, "m", F.col("i").cast("long"), "n", "block").repartition("block").sortWithinPartitions("block")
     level, done = 0, []
     now = written(blocks.mapInArrow(_ranker(["block"], carried), f"{_KEYS}, name long"), "names")
     while True:
