@@ -1,12 +1,12 @@
 """Near-duplicate documents by bottom-k MinHash sketches from one hash function.
 
 A document is the set of hashes of its pairs of neighbouring words; its sketch is
-the k least of them. Inverted lists of the retained values generate candidate
-pairs. Two sketches that may pass the estimate share some value among the rarest
-of each, so only those are listed (prefix filtering): passages that thousands of
-documents share cost nothing, and no list is cut. The union sketch (the k least
-of both sets) estimates the Jaccard index and filters, and the exact index of the
-full sets verifies.
+the k least of them. Inverted lists of the retained values, each taken with the
+one that follows it in the sketch, generate candidate pairs: where more than half
+of two sketches' union is shared, two shared values are successive, so nothing is
+missed, while single pairs of words that a large corpus has everywhere make no
+candidates. No list is cut. The union sketch (the k least of both sets) estimates
+the Jaccard index and filters, and the exact index of the full sets verifies.
 
 Groups are connected components of verified pairs, so pairs inside a component
 need no look. First each list compares its members with a hub, the member whose
@@ -64,9 +64,18 @@ def _sketcher(k: int, n: int):
     return sketch
 
 
-def _setter(n: int):
+def _setter(n: int, held=None):
+    """Shingle sets of the rows (u, text) whose u may be in the filter ``held``."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if held is not None:
+                bitmap, u = held.value, batch.column(0).to_numpy().view(np.uint64)
+                low, six, one = np.uint64(64 * len(bitmap) - 1), np.uint64(6), np.uint64(1)
+                hit = np.full(len(u), one)
+                for p in (u & low, u >> np.uint64(32) & low):
+                    hit &= bitmap[p >> six] >> (p & np.uint64(63))
+                batch = batch.filter(pa.array(hit == one))
             for a, b in pieces(batch.column(1)):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists([s.astype(np.int64) for s in shingle_sets(part.column(1), n)], pa.int64())], names=["u", "s"])
@@ -74,6 +83,18 @@ def _setter(n: int):
     return sets
 
 
+def _filter_of(ends: DataFrame):
+    """A Bloom filter of the column u, of 16 bits a key and two places each, to send along with tasks; None if it would be too large."""
+    bits = max(16, (16 * ends.count()).bit_length())
+    if bits > FILTER_BITS:
+        return None
+    place = F.explode(F.array(F.col("u").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("u", 32).bitwiseAND(F.lit((1 << bits) - 1)))).alias("p")
+    words_ = ends.select(place).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words_["w"].to_numpy()] = words_["m"].to_numpy().view(np.uint64)
+    return ends.sparkSession.sparkContext.broadcast(bitmap)
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sa, sb = batch.column(2), batch.column(3)
@@ -99,40 +120,76 @@ def sketches(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     return written(made.withColumn("rep", F.min("u").over(same)).select("doc_id", "u", "n", "sketch", "rep"), "sketches")
 
 
-def _need(size: Column, floor: float) -> Column:
-    """Values that a sketch of ``size`` must share with another one to pass the estimate."""
-    return F.greatest(F.lit(1), F.ceil(F.round(size * F.lit(floor), 6)).cast("int"))
+#: Values of the longer sketch that looks again at pairs of different groups before their whole sets are compared.
+WIDE = 256
+#: A filter of more than 2 ** FILTER_BITS bits isn't sent; texts are shuffled instead.
+FILTER_BITS = 28
+#: Sketches of so few values are also listed by each single value: of five values three may be shared with no two adjacent.
+SINGLE = 5
+
+
+def _overlap(size: Column, threshold: float, floor: float, k: int) -> Column:
+    """Pairs of successive values that sketches of a match share with one of ``size``.
+
+    m of T values shared, in random order, have m (m - 1) / T successive pairs, with a
+    deviation of m (T - m) / T ** 1.5; three of them are allowed for. A union that
+    fits a sketch has the exact index, and the threshold holds for it, not the floor.
+    """
+    f = F.when(size <= threshold * k, F.lit(threshold)).otherwise(F.lit(floor))
+    return F.greatest(F.lit(1), F.floor(F.round(f * f * size - f - 3 * f * (1 - f) * F.sqrt(size.cast("double")), 6)).cast("int"))
 
 
-def inverted_lists(sets: DataFrame, floor: float) -> DataFrame:
-    """(v, u, spread): the rarest retained values of each sketch, as many as a match must touch; those of one sketch only are left out.
+def inverted_lists(sets: DataFrame, threshold: float, floor: float, k: int) -> DataFrame:
+    """(v, u, n, spread): the sketches that hold each pair of successive retained values; pairs that one sketch alone has are left out.
 
-    Values that no other sketch has are the rarest of all: they fill the prefix first.
+    Two values that follow each other in the union of two sketches and are in both
+    follow each other in both. If more than half of the union is shared, and it has
+    more than SINGLE values, some two shared ones are successive: no such match is
+    missed, while unrelated documents rarely share two values and all between them.
+    Of each sketch the rarest pairs are listed, as many as a match must touch; those
+    that no other sketch has are the rarest of all and come first.
     """
-    flat = sets.select("u", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    s = F.col("sketch")
+    runs = F.transform(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.xxhash64(F.get(s, i - 1), F.get(s, i)))
+    runs = F.when(F.size(s) > 1, runs).otherwise(F.array().cast("array<long>"))
+    keys = F.when(F.size(s) <= SINGLE, F.concat(runs, F.transform(s, lambda x: F.xxhash64(x)))).otherwise(runs)
+    flat = sets.select("u", "n", F.size(s).alias("s"), F.explode(keys).alias("v"))
     counted = flat.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("v"))).filter("df > 1")
-    lone = F.col("s") - F.size("vs")
-    left = F.col("s") - _need(F.col("s"), floor) + 1 - lone
-    by = counted.groupBy("u", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    by = counted.groupBy("u", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     spread = F.aggregate("vs", F.lit(0.0), lambda t, x: t + F.log2(x["df"].cast("double")))
-    kept = by.withColumn("left", left).filter("left > 0")
-    return kept.select("u", F.round(spread, 6).alias("spread"), F.explode(F.slice("vs", F.lit(1), F.col("left"))).alias("x")).select(F.col("x.v").alias("v"), "u", "spread")
+    kept = by.withColumn("left", F.size("vs") - _overlap(F.col("s"), threshold, floor, k) + 1).filter("left > 0")
+    return kept.select("u", "n", F.round(spread, 6).alias("spread"), F.explode(F.slice("vs", F.lit(1), F.col("left"))).alias("x")).select(F.col("x.v").alias("v"), "u", "n", "spread")
+
+
+def _alike(x: str, y: str, threshold: float) -> Column:
+    """Sets of these sizes can have an index of ``threshold``."""
+    return F.least(x, y) >= F.round(F.greatest(x, y) * F.lit(threshold), 6)
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, k: int, floor: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose union sketch has a share of at least ``floor`` in common."""
-    side = lambda x: sets.select(F.col("u").alias(x), F.col("sketch").alias("s" + x))
+    # 31 leading bits keep the order and tell values apart well enough for an estimate
+    short = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
+    side = lambda x: sets.select(F.col("u").alias(x), short.alias("s" + x))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = both.withColumn("t", union).filter(F.size(F.array_intersect("t", F.array_intersect("sa", "sb"))) >= F.round(F.size("t") * F.lit(floor), 6))
     return both.select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(a, b, jaccard) of ``pairs`` with an exact index of at least ``threshold``. Each document involved is read and shuffled once."""
-    ends = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
-    texts = docs.filter(F.col("text").isNotNull()).select(key_columns()[0].alias("u"), text_of().alias("text")).join(ends, "u", "left_semi")
-    sets = one_each(written(texts.mapInArrow(_setter(n), "u long, s array<long>"), "sets"), "u")
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float, n: int, again: float | None = None) -> DataFrame:
+    """(a, b, jaccard) of ``pairs`` with an exact index of at least ``threshold``. Only the sets of documents that are involved, or pass a Bloom filter of them, are shuffled.
+
+    With ``again``, pairs whose sketches of WIDE values are estimated below it don't get that far.
+    """
+    ends = written(pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct(), "ends")
+    texts = docs.filter(F.col("text").isNotNull()).select(key_columns()[0].alias("u"), text_of().alias("text"))
+    held = _filter_of(ends)
+    if held is None:
+        texts = texts.join(ends, "u", "left_semi")
+    sets = one_each(written(texts.mapInArrow(_setter(n, held), "u long, s array<long>"), "sets"), "u")
+    if again is not None:
+        pairs = written(estimated(pairs, sets.select("u", F.slice("s", 1, WIDE).alias("sketch")), WIDE, again), "closer")
     both = pairs.join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(_jaccard, "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
 
@@ -143,33 +200,33 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, n: int = S
         raise ValueError("threshold must be in (0, 1]")
     floor = max(0.0, threshold - slack)
     every = sketches(docs, k, n)
-    sets = one_each(every.filter("u = rep").select("u", "sketch"), "u")
-    listed = written(inverted_lists(sets, floor), "lists")
-    hub = F.max_by("u", F.struct(F.col("spread"), F.col("u"))).over(Window.partitionBy("v"))
-    stars = listed.withColumn("h", hub).filter("u <> h").select(F.least("u", "h").alias("a"), F.greatest("u", "h").alias("b")).distinct()
-    near = written(verified(written(estimated(stars, sets, k, floor), "stars"), docs, threshold, n).select("a", "b"), "near")
+    sets = one_each(every.filter("u = rep").select("u", "n", "sketch"), "u")
+    listed = written(inverted_lists(sets, threshold, floor, k), "lists")
+    hub = F.max(F.struct("spread", "u", "n")).over(Window.partitionBy("v"))
+    stars = listed.withColumn("h", hub).filter(F.col("u") != F.col("h.u")).filter(_alike("n", "h.n", threshold))
+    stars = written(stars.select(F.least("u", "h.u").alias("a"), F.greatest("u", "h.u").alias("b")).distinct(), "stars")
+    near = written(verified(written(estimated(stars, sets, k, floor), "likely"), docs, threshold, n).select("a", "b"), "near")
     found = components(near)
     # what is left: in each list, pairs of different components. All but the largest component of a list are compared with all of it.
-    placed = listed.select("v", "u").join(found.withColumnRenamed("node", "u"), "u", "left").select("v", "u", F.coalesce("root", "u").alias("c"))
+    placed = listed.select("v", "u", "n").join(found.withColumnRenamed("node", "u"), "u", "left").select("v", "u", "n", F.coalesce("root", "u").alias("c"))
     sizes = placed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("v", "c")))
     top = F.max_by("c", F.struct("m", "c")).over(Window.partitionBy("v"))
     marked = sizes.withColumn("top", top).withColumn("open", (F.min("c").over(Window.partitionBy("v")) != F.max("c").over(Window.partitionBy("v"))))
-    marked = written(marked.filter("open").select("v", "u", "c", (F.col("c") == F.col("top")).alias("main")), "open")
-    few = marked.filter("not main").select("v", F.col("u").alias("x"), F.col("c").alias("cx"))
-    all_ = marked.select("v", F.col("u").alias("y"), F.col("c").alias("cy"), "main")
-    rest = few.join(all_, "v").filter("cx <> cy and (main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    marked = written(marked.filter("open").select("v", "u", "n", "c", (F.col("c") == F.col("top")).alias("main")), "open")
+    few = marked.filter("not main").select("v", F.col("u").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    all_ = marked.select("v", F.col("u").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
+    rest = few.join(all_, "v").filter("cx <> cy and (main or x < y)").filter(_alike("nx", "ny", threshold))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = near
     if not rest.isEmpty():
         passed = written(estimated(rest, sets, k, floor), "passed")
-        more = near.unionByName(verified(passed, docs, threshold, n).select("a", "b"))
+        more = near.unionByName(verified(passed, docs, threshold, n, max(0.0, threshold - slack * (k / max(k, WIDE)) ** 0.5)).select("a", "b"))
         found = components(written(more, "near"))
     roots = every.select("doc_id", "u", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return roots.select("doc_id", "u", F.coalesce("root", "rep").alias("root"))
 
 
-
-
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, group_doc_id, group_size, keep) of the rows that are in a group of at least two.
 
