@@ -68,8 +68,18 @@ def key_columns() -> list[Column]:
     ]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("*", *key_columns())
+def renamed(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` under names of ours, so that none clashes with a working column."""
+    return [F.col(f"`{c}`").alias(f"{TMP}c{i}") for i, c in enumerate(docs.columns)]
+
+
+def named_back(docs: DataFrame) -> list[Column]:
+    return [F.col(f"{TMP}c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def row_order(docs: DataFrame) -> list[Column]:
+    """An order of renamed rows by all columns that have one."""
+    return [F.col(f"{TMP}c{i}") for i, (_, kind) in enumerate(docs.dtypes) if "map<" not in kind]
 
 
 def keep_rows(docs: DataFrame, chosen: DataFrame, count: str, order: str | None = None) -> DataFrame:
@@ -80,16 +90,15 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, count: str, order: str | None
     """
     on, extra = [U1, U2], [order] if order else []
     picked = chosen.select(*on, F.col(count).alias(TMP + "n"), F.col(TMP + "m"), *extra)
-    out = keyed(docs)
+    out = docs.select(*renamed(docs), *key_columns())
     if picked.filter(F.col(TMP + "n") < F.col(TMP + "m")).isEmpty():
         out = out.join(picked.select(*on, *extra), on) if order else out.join(picked.select(*on), on, "left_semi")
     else:
-        by = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-        out = out.join(picked, on).withColumn(TMP + "r", F.row_number().over(Window.partitionBy(*on).orderBy(*by)))
+        out = out.join(picked, on).withColumn(TMP + "r", F.row_number().over(Window.partitionBy(*on).orderBy(*row_order(docs))))
         out = out.filter(F.col(TMP + "r") <= F.col(TMP + "n"))
     if order:
         out = out.orderBy(order, *on)
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return out.select(*named_back(docs))
 
 
 def one_each(df: DataFrame, key: str) -> DataFrame:

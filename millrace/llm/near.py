@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import TMP, U1, key_columns, lists, mix, ngrams, one_each, pieces, text_of, words, written
+from millrace.llm.common import TMP, U1, key_columns, lists, mix, named_back, ngrams, one_each, pieces, renamed, row_order, text_of, words, written
 from millrace.llm.components import components
 
 K = 64
@@ -249,9 +249,8 @@ def drop_near(docs: DataFrame, **how) -> DataFrame:
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "u")
     dropped = found.distinct().withColumn("k", F.row_number().over(first)).filter("k > 1").select(F.col("u").alias(U1))
     again = written(found.groupBy(F.col("u").alias(U1)).agg(F.count(F.lit(1)).alias(TMP + "m")).filter(F.col(TMP + "m") > 1), "again")
-    out = docs.withColumn(U1, key_columns()[0]).join(written(dropped, "dropped"), U1, "left_anti")
+    out = docs.select(*renamed(docs), key_columns()[0]).join(written(dropped, "dropped"), U1, "left_anti")
     if not again.isEmpty():  # rows that agree in doc_id and text
-        by = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-        out = out.join(again, U1, "left").withColumn(TMP + "r", F.row_number().over(Window.partitionBy(U1).orderBy(*by)))
+        out = out.join(again, U1, "left").withColumn(TMP + "r", F.row_number().over(Window.partitionBy(U1).orderBy(*row_order(docs))))
         out = out.filter(F.col(TMP + "m").isNull() | (F.col(TMP + "r") == 1))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return out.select(*named_back(docs))
