@@ -1,0 +1,381 @@
+"""Spelling of words by a hierarchical Pitman-Yor model of characters: the base measure of the word model in ``lm``.
+
+The restaurant of a context of three characters has that of the last two as its
+parent, which has that of the last one, which has the root; the root's parent is
+uniform. All restaurants under one last character share that parent and form a
+subtree: subtrees are sampled in parallel, one task each, given the root.
+
+Seating is sampled by blocked Gibbs steps: all customers of one dish leave a
+restaurant and are seated again one after the other, each at a new table with a
+probability proportional to (theta + d T) P(parent), while the other dishes stay.
+The time to the next new table is drawn at once, so a step costs as much as the
+tables it opens, not the customers. Tables are the customers of the parent.
+Predictive probabilities are averaged over the samples.
+
+It is trained on distinct words, so it saturates; each worker reads it from the
+shared folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.llm.common import mix, pieces, shared_path, text_of
+
+BEGIN, END, ODD = 0, 1, 0xFFFD  # symbols: before a text, after it, and for what is beyond 16 bits
+ORDER = 4
+SYMBOLS = 1 << 16
+THETA = 1.0
+BURN_IN, SAMPLES = 2, 4
+_EXACT = 16  # customers seated one by one before times are drawn
+_MASK = (1 << 16) - 1
+
+# ----------------------------------------------------------------- grams
+
+
+def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a slice of texts, each with three BEGIN before it and an END after it, and the places of the BEGINs."""
+    texts = [x or "" for x in col.to_pylist()]
+    sizes = np.array([len(x) for x in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((codes > _MASK) | (codes <= END), ODD, codes).astype(np.uint16)
+    to = np.cumsum(sizes + ORDER)
+    out = np.full(int(to[-1]) if len(to) else 0, BEGIN, np.uint16)
+    start = to - sizes - ORDER
+    own = np.ones(len(out), bool)
+    for k in range(ORDER - 1):
+        own[start + k] = False
+    own[to - 1] = False
+    out[own] = codes
+    out[to - 1] = END
+    return out, start
+
+
+def grams(s: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of the ORDER symbols that end at each symbol but the BEGINs, text after text, and their number by text."""
+    wide = s.astype(np.uint64)
+    if len(s) < ORDER:
+        return np.zeros(0, np.uint64), np.zeros(len(start), np.int64)
+    key = wide[ORDER - 1 :].copy()
+    for k in range(1, ORDER):
+        key |= wide[ORDER - 1 - k : len(wide) - k] << np.uint64(16 * k)
+    keep = np.ones(len(key), bool)
+    for k in range(ORDER - 1):  # those that end with a BEGIN of the next text
+        at = start[1:] - (ORDER - 1) + k
+        keep[at] = False
+    sizes = np.diff(np.append(start, len(s))) - (ORDER - 1)
+    return key[keep], sizes
+
+
+def _distinct(s: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and their counts."""
+    seen = np.flatnonzero(np.bincount(s, minlength=SYMBOLS))
+    if len(seen) > 256:
+        return np.unique(grams(s, start)[0], return_counts=True)
+    small = np.zeros(SYMBOLS, np.uint8)
+    small[seen] = np.arange(len(seen))
+    d = small[s].astype(np.uint32)  # narrow keys sort faster
+    key = d[ORDER - 1 :].copy()
+    for k in range(1, ORDER):
+        key |= d[ORDER - 1 - k : len(d) - k] << np.uint32(8 * k)
+    keep = np.ones(len(key), bool)
+    for k in range(ORDER - 1):
+        keep[start[1:] - (ORDER - 1) + k] = False
+    key = np.sort(key[keep])
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    counts = np.diff(np.append(first, len(key)))
+    key = key[first]
+    out = np.zeros(len(key), np.uint64)
+    for k in range(ORDER):
+        out |= seen[(key >> np.uint32(8 * k)) & np.uint32(255)].astype(np.uint64) << np.uint64(16 * k)
+    return out, counts
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts, held = [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        k, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        return k, np.bincount(inv, np.concatenate(counts), minlength=len(k)).astype(np.int64)
+
+    for batch in batches:
+        for a, b in pieces(batch.column(0)):
+            k, c = _distinct(*symbols(batch.column(0).slice(a, b - a)))
+            keys.append(k)
+            counts.append(c)
+            held += len(k)
+            if held > 2_000_000:
+                k, c = merged()
+                keys, counts, held = [k], [c], 0
+                if len(k) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["g", "n"])
+                    keys, counts = [], []
+    if keys:
+        k, c = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["g", "n"])
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(g, n): how often each gram occurs in all texts. Each task sends its distinct grams once."""
+    rows = docs.select(text_of().alias("text")).filter(F.col("text").isNotNull())
+    return rows.mapInArrow(_counter, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+# ----------------------------------------------------------------- seating
+
+
+def seat(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after its c customers are seated in turn. p: the parent's probability; others: tables of other dishes there."""
+    t = np.ones(len(c), np.float64)
+    n = np.ones(len(c), np.float64)
+    live = np.flatnonzero(c > 1)
+    for _ in range(_EXACT):
+        if not len(live):
+            break
+        a = (THETA + d * (others[live] + t[live])) * p[live]
+        t[live] += rng.random(len(live)) < a / (n[live] - d * t[live] + a)
+        n[live] += 1
+        live = live[n[live] < c[live]]
+    while len(live):
+        a = (THETA + d * (others[live] + t[live])) * p[live]
+        x = n[live] - d * t[live] + (a - 1) / 2
+        # of m further customers none opens a table with probability (x / (x + m)) ** a, up to terms of 1 / x**2
+        with np.errstate(over="ignore"):
+            m = np.floor(np.maximum(x, 0.5) * np.expm1(np.minimum(-np.log(rng.random(len(live))) / a, 700)))
+        n[live] += m + 1
+        inside = n[live] <= c[live]
+        t[live[inside]] += 1
+        live = live[n[live] < c[live]]
+    return np.minimum(t, c)
+
+
+class Level:
+    """The restaurants of one length of context in a subtree: for each (context, dish) its context's number, customers c and tables t."""
+
+    def __init__(self, of: np.ndarray, contexts: int, d: float):
+        self.of, self.contexts, self.d = of, contexts, d
+        self.c = np.zeros(len(of))
+        self.t = np.zeros(len(of))
+
+    def add(self, p: np.ndarray, rng: np.random.Generator) -> None:
+        tables = np.bincount(self.of, self.t, minlength=self.contexts)
+        self.t = seat(self.c, p, np.maximum(tables[self.of] - self.t, 0), self.d, rng)
+
+    def backoff(self) -> np.ndarray:
+        c = np.bincount(self.of, self.c, minlength=self.contexts)
+        t = np.bincount(self.of, self.t, minlength=self.contexts)
+        return (THETA + self.d * t) / (THETA + c)
+
+    def predict(self, p: np.ndarray) -> np.ndarray:
+        c = np.bincount(self.of, self.c, minlength=self.contexts)
+        return np.maximum(self.c - self.d * self.t, 0) / (THETA + c)[self.of] + self.backoff()[self.of] * p
+
+
+def sampled(levels: list[Level], at: list[np.ndarray], base: np.ndarray, n: np.ndarray, rng: np.random.Generator, burn_in: int = 0, samples: int = 1):
+    """Sampled seatings of n customers in the longest contexts. at: each (context, dish)'s place in the next level; base: the last level's parent's probabilities.
+
+    Gives, from the longest context to the shortest, (mean probability, mean
+    backoff), and the mean tables of the shortest.
+    """
+    last = len(levels) - 1
+    levels[0].c = n.astype(np.float64)
+    for k in range(last + 1):  # at first one table for each dish
+        levels[k].t = np.minimum(levels[k].c, 1)
+        if k < last:
+            levels[k + 1].c = np.bincount(at[k], levels[k].t, minlength=len(levels[k + 1].of))
+    sums = [[np.zeros(len(x.of)), np.zeros(x.contexts)] for x in levels]
+    tables = np.zeros(len(levels[last].of))
+    for sweep in range(burn_in + samples):
+        p = [base]
+        for k in range(last, 0, -1):
+            p.insert(0, levels[k].predict(p[0])[at[k - 1]])
+        for k in range(last + 1):
+            levels[k].add(p[k], rng)
+            if k < last:
+                levels[k + 1].c = np.bincount(at[k], levels[k].t, minlength=len(levels[k + 1].of))
+        if sweep >= burn_in:
+            q = base
+            for k in range(last, -1, -1):
+                out = levels[k].predict(q)
+                sums[k][0] += out
+                sums[k][1] += levels[k].backoff()
+                if k:
+                    q = out[at[k - 1]]
+            tables += levels[last].t
+    return [(a / samples, b / samples) for a, b in sums], tables / samples
+
+
+def sample_subtree(g: np.ndarray, n: np.ndarray, root: np.ndarray, discounts: list[float], seed: int, burn_in: int = BURN_IN, samples: int = SAMPLES):
+    """Sampled seatings of the grams g (sorted, all with one last context symbol). root: probability of each symbol.
+
+    Gives, from the longest context to the shortest, (keys, mean probability,
+    contexts, mean backoff), and the mean tables of the shortest.
+    """
+    keys, at = [g], []
+    for length in (2, 1):  # without the oldest symbol
+        short, to = np.unique(keys[-1] & np.uint64((1 << 16 * (length + 1)) - 1), return_inverse=True)
+        keys.append(short)
+        at.append(to)
+    contexts = [np.unique(k >> np.uint64(16), return_inverse=True) for k in keys]
+    levels = [Level(of, len(c), discounts[3 - k]) for k, (c, of) in enumerate(contexts)]
+    base = root[(keys[2] & np.uint64(_MASK)).astype(np.int64)]
+    found, tables = sampled(levels, at, base, n, np.random.default_rng(seed), burn_in, samples)
+    return [(k, p, c, b) for k, (p, b), (c, _) in zip(keys, found, contexts, strict=True)], tables
+
+
+_MODEL = "kind int, g long, p double"  # kind: 10 + symbols of a gram, or symbols of a context for its backoff
+
+
+def _sampler(root: np.ndarray, discounts: list[float], burn_in: int, samples: int, whole: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf["g"].to_numpy().view(np.uint64)
+        order = np.argsort(g)
+        g, n = g[order], pdf["n"].to_numpy()[order]
+        last = int((g[0] >> np.uint64(16)) & np.uint64(_MASK))
+        found, tables = sample_subtree(g, n, root, discounts, last, burn_in, samples)
+        if not whole:
+            return pd.DataFrame({"kind": 0, "g": (found[2][0] & np.uint64(_MASK)).astype(np.int64), "p": tables})
+        parts = []
+        for size, (keys, p, contexts, b) in zip((4, 3, 2), found, strict=True):
+            parts.append(pd.DataFrame({"kind": 10 + size, "g": keys.view(np.int64), "p": p}))
+            parts.append(pd.DataFrame({"kind": size - 1, "g": contexts.view(np.int64), "p": b}))
+        return pd.concat(parts)
+
+    return run
+
+
+def root_probabilities(customers: np.ndarray, d: float, seed: int = 1) -> np.ndarray:
+    """Of all symbols, from the customers that the restaurants of one symbol send."""
+    rng = np.random.default_rng(seed)
+    c = np.ceil(customers)
+    have = np.flatnonzero(c)
+    total = np.zeros(SYMBOLS)
+    t = np.minimum(c, 1)
+    for sweep in range(BURN_IN + SAMPLES):
+        p = np.full(len(have), 1 / SYMBOLS)
+        t[have] = seat(c[have], p, np.maximum(t.sum() - t[have], 0), d, rng)
+        if sweep >= BURN_IN:
+            total += (np.maximum(c - d * t, 0) + (THETA + d * t.sum()) / SYMBOLS) / (THETA + c.sum())
+    return total / SAMPLES
+
+
+def train(docs: DataFrame) -> str:
+    """Count, sample and write the model; returns its place in the shared folder."""
+    spark = docs.sparkSession
+    place = shared_path(spark, "spelling")
+    counts(docs).write.parquet(place + "/counts")
+    have = spark.read.schema("g long, n long").parquet(place + "/counts").withColumn("last", F.col("g").bitwiseAND(F.lit(_MASK << 16)))
+    # discounts from the kinds of grams seen once and twice, by length of context
+    stats, level = [], have.select("g", F.col("n").alias("c"))
+    for bits in (48, 32, 16):
+        stats.append(level.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+        level = level.groupBy(F.col("g").bitwiseAND(F.lit((1 << bits) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("c"))
+    tables = level.select("g", "c").toPandas()  # by symbol, 65,536 at most
+    discounts = [0.5, *(float(np.clip(a / (a + 2 * b) if a + b else 0.5, 0.05, 0.95)) for a, b in reversed(stats))]
+    root = np.zeros(SYMBOLS)
+    root[tables["g"].to_numpy()] = tables["c"].to_numpy()
+    by = have.groupBy("last")
+    p = root_probabilities(root, discounts[0])
+    first = by.applyInPandas(_sampler(p, discounts, BURN_IN, 1, False), _MODEL).groupBy("g").agg(F.sum("p").alias("p")).toPandas()
+    root[:] = 0
+    root[first["g"].to_numpy()] = first["p"].to_numpy()
+    p = root_probabilities(root, discounts[0])
+    model = by.applyInPandas(_sampler(p, discounts, BURN_IN, SAMPLES, True), _MODEL)
+    model.write.parquet(place + "/model")
+    ones = spark.createDataFrame(pd.DataFrame({"kind": 11, "g": np.arange(SYMBOLS), "p": p}), _MODEL)
+    ones.coalesce(1).write.mode("append").parquet(place + "/model")
+    return place
+
+
+# ----------------------------------------------------------------- scoring
+
+
+class Table:
+    """Keys to values by open addressing, looked up many at a time; a missing key gives NaN."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.used = np.zeros(1 << self.bits, bool)
+        self.values = np.full(1 << self.bits, np.nan, np.float32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = ~self.used[at]
+            places, who = np.unique(at[free], return_index=True)
+            mine = left[free][who]
+            self.used[places] = True
+            self.keys[places], self.values[places] = keys[mine], values[mine]
+            waits = self.keys[at] != keys[left]
+            at, left = (at[waits] + 1) & ((1 << self.bits) - 1), left[waits]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        out = np.where(self.keys[at] == keys, self.values[at], np.float32(np.nan))
+        left = np.flatnonzero((self.keys[at] != keys) & self.used[at])
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            hit = self.used[at] & (self.keys[at] == keys[left])
+            out[left[hit]] = self.values[at[hit]]
+            go = self.used[at] & ~hit
+            at, left = at[go], left[go]
+        return out
+
+
+class Model:
+    def __init__(self, kind: np.ndarray, g: np.ndarray, p: np.ndarray):
+        g = g.astype(np.int64).view(np.uint64)
+        self.tables = {int(k): Table(g[kind == k], np.log(p[kind == k])) for k in np.unique(kind)}
+        self.floor = np.log(1 / SYMBOLS)
+
+    def log_p(self, keys: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of the last symbols of grams, given the others."""
+        none = Table(np.zeros(0, np.uint64), np.zeros(0))
+        out = self.tables.get(14, none).get(keys)
+        missing = np.flatnonzero(np.isnan(out))
+        if len(missing):
+            left, total = keys[missing], np.zeros(len(missing))
+            value = np.full(len(missing), np.nan)
+            for size in (3, 2, 1):
+                longer = left & np.uint64((1 << (16 * (size + 1))) - 1)
+                b = self.tables.get(size, none).get(longer >> np.uint64(16))
+                open_ = np.isnan(value)
+                total = np.where(open_ & ~np.isnan(b), total + b, total)
+                p = self.tables.get(10 + size, none).get(left & np.uint64((1 << (16 * size)) - 1))
+                value = np.where(open_ & ~np.isnan(p), total + p, value)
+            out[missing] = np.where(np.isnan(value), total + self.floor, value)
+        return out
+
+
+_held: dict[str, Model] = {}
+
+
+def load(place: str) -> Model:
+    """The model in the shared folder; a worker keeps the last one that it read."""
+    if place not in _held:
+        fs, root = pafs.FileSystem.from_uri(place)
+        t = pads.dataset(root + "/model", filesystem=fs, format="parquet").to_table()
+        _held.clear()
+        _held[place] = Model(*(t[c].to_numpy() for c in ("kind", "g", "p")))
+    return _held[place]
+
+
+def log_p(texts: pa.Array, place: str) -> np.ndarray:
+    """Natural logarithm of the probability of each of the texts, with its end."""
+    if not len(texts):
+        return np.zeros(0)
+    keys, sizes = grams(*symbols(texts))
+    total = np.append(0.0, np.cumsum(load(place).log_p(keys), dtype=np.float64))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]

@@ -190,3 +190,22 @@ def test_fingerprints_of_a_shifted_clip_agree_and_bad_files_are_null(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"no")), (3, bytearray(media.to_wav(np.zeros(0)))), (4, bytearray(media.to_wav(x)))], "media_id long, wav binary")
     got = {r["media_id"]: r for r in media.fingerprints(df).collect()}
     assert got[1]["fingerprint"] is None and got[2]["rate"] is None and got[3]["fingerprint"] == [] and len(got[4]["fingerprint"]) == len(h)
+
+
+def test_lm_tells_the_order_of_words(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(f"{rng.choice('abc')}some {rng.choice('abc')}thing followed every {rng.choice('abc')}body home" for _ in range(8))
+    texts = [say() for _ in range(200)]
+    salad = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts[:20]]
+    place = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    both = spark.createDataFrame(list(enumerate(texts[:20] + salad)), "doc_id long, text string")
+    got = {r["doc_id"]: r["perplexity"] for r in lm.score(both, place).collect()}
+    assert all(got[i + 20] > 10 * got[i] for i in range(20))
+
+
+def test_lm_scores_its_own_documents_as_others(docs, rows):
+    one = {(r[0], r[1]): r["log_prob"] for r in lm.perplexities(docs).collect()}
+    two = {(r[0], r[1]): r["log_prob"] for r in lm.score(docs, lm.train(docs)).collect()}
+    assert one.keys() == two.keys() and lm.perplexities(docs).count() == len(rows)
+    for k, v in one.items():
+        assert (v is None) == (two[k] is None) and (v is None or v == pytest.approx(two[k], rel=1e-3))
