@@ -5,7 +5,8 @@ registered domain and suffix. Each level has a beta prior around its parent's
 posterior mean, whose strength is estimated by the method of moments from how
 far the children of that level scatter beyond binomial noise. A host with few
 labels leans on its domain, a domain on its suffix, a suffix on all pages. A page
-is kept if a lower bound of its host's posterior is above a threshold.
+is kept if a lower bound of its host's posterior is above a threshold: the mean
+less 1.645 standard deviations, the normal approximation of the 5 % quantile.
 
 Everything but the final join works on per-host sums, and that join carries only
 page_id and url.
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A page's document is named by the last number of its path.
-DOC_OF_URL = r"/([0-9]{1,18})(?:[/.?#]|$)"
+PATH = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+DOC_OF_PATH = r"(?s)^.*/([0-9]{1,18})(?:[/.]|$)"
 Z = 1.6448536269514722  # one-sided 95 %
 THRESHOLD = 0.6
 _MIN_STRENGTH, _MAX_STRENGTH = 1.0, 1000.0
@@ -71,7 +73,7 @@ def _level(sums: DataFrame) -> DataFrame:
 def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, domain, suffix, n_labelled, n_good, posterior_mean, lower_bound) for every host of ``pages``."""
     host = host_of(F.col("url").cast("string"))
-    hosts = pages.select(host.alias("host"), F.regexp_extract(F.col("url").cast("string"), DOC_OF_URL, 1).alias("d"))
+    hosts = pages.select(host.alias("host"), F.regexp_extract(F.regexp_extract(F.col("url").cast("string"), PATH, 1), DOC_OF_PATH, 1).alias("d"))
     hosts = hosts.filter("host is not null").select("host", F.when(F.col("d") != "", F.col("d")).cast("long").alias("doc_id"))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("quality").cast("long").alias("good"))

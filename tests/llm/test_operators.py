@@ -209,3 +209,10 @@ def test_lm_scores_its_own_documents_as_others(docs, rows):
     assert one.keys() == two.keys() and lm.perplexities(docs).count() == len(rows)
     for k, v in one.items():
         assert (v is None) == (two[k] is None) and (v is None or v == pytest.approx(two[k], rel=1e-3))
+
+
+def test_urls_name_their_document_last_in_the_path(spark):
+    pages = spark.createDataFrame([(1, "http://h.com/2024/05/123"), (2, "http://10.0.0.1/5"), (3, "http://q.com/7?x=/8"), (4, "http://f.com/9.html#/8")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i in (123, 5, 7, 9)), 0) for i in (2024, 123, 5, 1, 7, 8, 9)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: (r["n_labelled"], r["n_good"]) for r in urls.filter_urls(pages, labels).collect()}
+    assert got == {k: (1, 1) for k in (1, 2, 3, 4)}
