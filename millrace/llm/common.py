@@ -26,13 +26,15 @@ TMP = "_mr_"
 U1, U2 = TMP + "u1", TMP + "u2"
 
 
-# ----------------------------------------------------------------- storage
+# -------- storage
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, found, True)
         found = "file://" + found
@@ -44,15 +46,31 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def passing_path(spark: SparkSession, label: str) -> str:
+    """A place in this application's own part of the shared folder, which goes when the application ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/millrace-{sc.applicationId}"
+    if own not in _owned:
+        at = sc._jvm.org.apache.hadoop.fs.Path(own)
+        files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _owned.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+_owned: set[str] = set()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again. A lost executor costs no recomputation."""
     spark, schema = df.sparkSession, df.schema
-    path = shared_path(spark, label)
+    path = passing_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-# ----------------------------------------------------------------- row keys
+# -------- row keys
 
 
 def text_of(name: str = "text") -> Column:
@@ -106,7 +124,7 @@ def one_each(df: DataFrame, key: str) -> DataFrame:
     return df if df.groupBy(key).count().filter("count > 1").isEmpty() else df.dropDuplicates([key])
 
 
-# ----------------------------------------------------------------- hashing
+# -------- hashing
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -146,6 +164,8 @@ def _table(fold: bool) -> np.ndarray:
 FOLDED, EXACT = _table(True), _table(False)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WIDE = np.zeros(256, bool)  # first bytes that _other_scripts looks at
+_WIDE[[0xC2, 0xF0, *range(0xE0, 0xEA)]] = True
 #: White space and all ASCII signs but letters and digits.
 SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -186,8 +206,33 @@ def pieces(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
+def _other_scripts(data: np.ndarray, space: np.ndarray, edge: np.ndarray) -> None:
+    """Marks white space beyond ASCII, and the characters of scripts without spaces, each of which is a word."""
+    wide = np.flatnonzero(_WIDE[data])
+    if not len(wide):
+        return
+    a, b, c = data[wide], *(data[np.minimum(wide + k, len(data) - 1)] for k in (1, 2))
+    two = wide[(a == 0xC2) & ((b == 0xA0) | (b == 0x85))]
+    three = (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    three |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    three |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+    for at, size in ((two, 2), (wide[three], 3)):
+        for k in range(size):
+            space[at + k] = True
+    alone = ((a >= 0xE4) & (a <= 0xE9)) | (a == 0xE3) & ~three | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)
+    alone |= (a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F))
+    four = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    for mask, size in ((alone, 3), (four, 4)):
+        edge[wide[mask]] = True
+        edge[np.minimum(wide[mask] + size, len(data))] = True
+
+
 def words(col: pa.Array, table: np.ndarray = FOLDED, separators: np.ndarray = SPACE) -> Words:
-    """Words are maximal runs of bytes other than ``separators``, by default ASCII white space; with FOLDED, ASCII letters count without case."""
+    """Words are maximal runs of bytes other than ``separators``; with FOLDED, ASCII letters count without case.
+
+    By default they are parted by white space, and a character of a script that
+    has none (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word.
+    """
     data, offsets = utf8(col)
     n = len(data)
     if not n:
@@ -196,6 +241,8 @@ def words(col: pa.Array, table: np.ndarray = FOLDED, separators: np.ndarray = SP
     space = separators[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if separators is SPACE:
+        _other_scripts(data, space, edge)
     word = ~space
     begins = word.copy()
     begins[1:] &= space[:-1] | edge[1:-1]

@@ -11,22 +11,23 @@ from millrace.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each end of ``edges`` (a, b) the least node it is connected with.
 
-    Each round is two aggregations by node of the edges left, which are stars in the
-    end; the number of rounds grows with the logarithm of the longest path. A node
-    without an edge isn't listed.
+    Each round is two aggregations by node, and joins with their results, of the
+    edges left, which are stars in the end; the number of rounds grows with the
+    logarithm of the longest path. A star's edges stay apart rows, so that a hub of
+    any degree is a skewed join and no large row. A node without an edge isn't listed.
     """
     now = edges.select("a", "b").filter("a <> b")
-    # stars of smaller ends
     now = written(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        # large star: each node's larger neighbours, and the node, go to its least neighbour
+        # large star: each node's larger neighbours go to the least of its neighbours and itself
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hub = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.collect_list("v").alias("vs")).select("u", "m", F.explode("vs").alias("v"))
-        large = hub.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hubs = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(both.filter("v > u").join(hubs, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         # small star: each node's smaller neighbours, and the node, go to the least of them
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs")).select(F.col("m"), F.explode(F.array_union("vs", F.array("u"))).alias("u"))
-        now = written(small.filter("u <> m").select("u", F.col("m").alias("v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = written(small.filter("u <> v").distinct(), "edges")
         # two equal sums of mixed edges: nothing has changed
         total = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if total == seen:
