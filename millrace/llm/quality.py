@@ -11,6 +11,7 @@ documents with no shuffle, and the model goes along with the task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SIGNS, TMP, Words, mix, pieces, text_of, words
+from millrace.llm.common import SIGNS, TMP, Words, pieces, text_of, words, written
 
 BITS = 17  # hashed words
 RANK = 6
-#: Bound of the training set: labelled rows with the least hashes of doc_id.
+#: Bounds of the training set: labelled rows with the least hashes of doc_id and text, so many and of so many bytes together.
 TRAIN_ROWS = 8_000
+TRAIN_BYTES = 64 << 20
 EPOCHS = 6
 #: A document is kept if P(good) is at least this and P(toxic) at most that.
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.5
 _STATS = 12
-_META = 64  # hashed source and language, 32 each
+_NAMES = 4096  # hashed names of sources, and as many of languages
+_META = 2 * _NAMES
 _DENSE = 1 << BITS  # first dense feature
 SIZE = _DENSE + _STATS + _META
 
@@ -66,11 +69,9 @@ def _shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _meta(col: pa.Array, block: int) -> np.ndarray:
-    names = ["\0" if x is None else x for x in col.to_pylist()]
-    known: dict[str, int] = {}
-    for x in set(names):
-        h = int.from_bytes(x.encode()[:64].ljust(8, b"\1"), "little") & ((1 << 64) - 1)
-        known[x] = _DENSE + _STATS + 32 * block + int(mix(np.array([h ^ len(x)], np.uint64))[0] % np.uint64(32))
+    """The feature of each name, hashed whole; null is a name of its own."""
+    names = col.to_pylist()
+    known = {x: _DENSE + _STATS + _NAMES * block + int.from_bytes(hashlib.blake2b(b"0" if x is None else b"1" + x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % _NAMES for x in set(names)}
     return np.array([known[x] for x in names], np.int64)
 
 
@@ -161,10 +162,11 @@ def train(rows: np.ndarray, feats: np.ndarray, vals: np.ndarray, y: np.ndarray,
     return Model(w0, w, v)
 
 
-# ----------------------------------------------------------------- on Spark
+# -------- on Spark
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
+    """Only these columns go on, so that no other can clash."""
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
 
 
@@ -181,18 +183,36 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(x, pa.binary()), *part.columns[3:]], names=["f", "x", *part.schema.names[3:]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
-    """Train on at most ``max_rows`` labelled documents, those with the least hashes of doc_id.
-
-    Labels without a doc_id, quality or document are left out, as are documents
-    without a text. With no labels left, the model keeps everything.
-    """
+def _training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """The labelled documents that are trained on: distinct rows of (doc_id, text, source, lang), in the order of a hash, within both bounds."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("quality").cast("int").alias("good"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = _inputs(docs).filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")  # bounded by max_rows
-    made = rows.select("text", "source", "lang", "good", "toxic", "doc_id").mapInArrow(_featurise, "f binary, x binary, good int, toxic int, doc_id long")
-    table = made.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "f", "x")])  # bounded by max_rows; one order whatever the partitions
+    rows = _inputs(docs).filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")  # max_rows ids; a document may have several rows
+    rows = written(rows.select("*", *(F.xxhash64(F.lit(k), "doc_id", "text", "source", "lang", F.col("source").isNull(), F.col("lang").isNull()).alias(f"h{k}") for k in (1, 2))), "labelled")
+    keys = rows.groupBy("h1", "h2").agg(F.max(F.octet_length("text")).alias("size")).orderBy("h1", "h2").limit(max_rows).collect()  # max_rows of three numbers
+    held, chosen = 0, []
+    for r in keys:
+        held += r["size"]
+        if chosen and held > max_bytes:
+            break
+        chosen.append((r["h1"], r["h2"]))
+    few = docs.sparkSession.createDataFrame(chosen, "h1 long, h2 long")
+    return rows.join(F.broadcast(few), ["h1", "h2"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, epochs: int = EPOCHS, max_bytes: int = TRAIN_BYTES) -> Model:
+    """Train on at most ``max_rows`` labelled documents of at most ``max_bytes`` together (one at least), those with the least hashes.
+
+    Labels without a doc_id, quality or document are left out, as are documents
+    without a text. Of several labels of one document the least quality and the
+    greatest toxicity count; several texts of one doc_id are as many documents, and
+    equal rows are one. With no labels left, the model keeps everything.
+    """
+    rows = _training_rows(docs, labels, max_rows, max_bytes)
+    made = rows.select("text", "source", "lang", "good", "toxic", "h1", "h2").mapInArrow(_featurise, "f binary, x binary, good int, toxic int, h1 long, h2 long")
+    made = made.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("f", "x", "good", "toxic")))
+    table = made.toArrow().sort_by([("h1", "ascending"), ("h2", "ascending")])  # bounded by max_rows and max_bytes; one order whatever the partitions
     n = table.num_rows
     if not n:
         return Model(np.array([9.0, -9.0]), np.zeros((SIZE, 2), np.float32), np.zeros((SIZE, 2 * RANK), np.float32))
@@ -236,16 +256,17 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) ->
     """(doc_id, p_quality, p_toxic, keep) for each row.
 
     A null or empty text has no words and is scored by its metadata and the
-    feature for emptiness; a null source or language is a value of its own. Equal
+    feature for emptiness; a null source or language is a value of its own. A text
+    is read whole, however long; its length counts by the logarithm. Equal
     rows get equal scores, whatever the partitions. Extra columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. Conflicting labels: see :func:`fit`.
     """
     out = _scored(_inputs(docs), fit(docs, labels, max_rows), (1, 2, 3))
     return out.select("doc_id", "p_quality", "p_toxic", _good().alias("keep"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, with all their columns, in one pass."""
+    """The rows of ``docs`` that :func:`classify` keeps, with all their columns, whatever their names, in one pass; repeated rows stay repeated."""
     model = fit(docs, labels, max_rows)
     names = [f"{TMP}c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).select("*", *(F.col(names[docs.columns.index(c)]).cast("string").alias(TMP + c) for c in ("text", "source", "lang")))
