@@ -9,13 +9,16 @@ documents.
 No running sum is made in one task: documents are bucketed by their hash (within
 a source) or by their time (over all), buckets are summed apart, and the small
 table of bucket totals gives each bucket its offset. A hot source is spread over
-as many buckets as any other.
+as many buckets as any other, and buckets of time are cut at quantiles, so that
+they hold about as many documents however unlike the weights are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,8 @@ DEFAULT_WEIGHT = 1.0
 #: The budget as a share of all tokens, in thousandths, so that every size behaves alike.
 BUDGET_PERMILLE = 800
 SEED = "mix-1"
-_HEX = 2  # characters of the hash that name a bucket of a source: 256 buckets
-_TIMES = 4096  # buckets of virtual time
+_HEX = 3  # characters of the hash that name a bucket of a source: 4096 buckets
+_TIMES = 1024  # buckets of virtual time
 
 
 def token_count(text: Column) -> Column:
@@ -75,15 +78,16 @@ def mix(
     null source is a source of its own with the default weight. A null or empty
     text has 0 tokens and takes none of the budget. Equal rows follow each other
     and each counts. Sources beyond ``weights`` get ``default_weight``. An empty
-    table gives an empty result.
+    table gives an empty result. Texts are counted whole, however long; extra
+    columns are ignored, whatever their names.
     """
     queued = written(_queued(docs, WEIGHTS if weights is None else weights, default_weight, seed), "queued")
-    span = queued.agg(F.max("vft").alias("top"), (F.sum("n_tokens") * budget_permille).alias("all")).first()
-    top = span["top"] or 0.0
+    cuts = F.percentile_approx("vft", [i / _TIMES for i in range(1, _TIMES)], 20 * _TIMES)
+    span = queued.agg(cuts.alias("cuts"), (F.sum("n_tokens") * budget_permille).alias("all")).first()  # _TIMES numbers
     budget = budget_tokens if budget_tokens is not None else (span["all"] or 0) // 1000
-    slot = F.floor(F.col("vft") * F.lit(_TIMES / top)).cast("long") if top > 0 else F.lit(0).cast("long")
-    queued = queued.withColumn("slot", slot)
-    before = Window.orderBy("slot2").rowsBetween(Window.unboundedPreceding, -1)  # at most _TIMES + 1 rows
+    splits = [-math.inf, *sorted(set(span["cuts"] or [])), math.inf]
+    queued = Bucketizer(splits=splits, inputCol="vft", outputCol="slot").transform(queued) if len(splits) > 2 else queued.withColumn("slot", F.lit(0.0))
+    before = Window.orderBy("slot2").rowsBetween(Window.unboundedPreceding, -1)  # at most _TIMES rows
     totals = queued.groupBy(F.col("slot").alias("slot2")).agg(F.sum("n_tokens").alias("t"))
     offsets = totals.withColumn("o", F.coalesce(F.sum("t").over(before), F.lit(0))).filter(F.col("o") <= budget)
     within = Window.partitionBy("slot").orderBy("vft", F.col("source").asc_nulls_first(), "h", "n_tokens", U1, U2).rowsBetween(Window.unboundedPreceding, 0)
@@ -99,6 +103,20 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     return out.orderBy(*order).select("doc_id", "source", "n_tokens", F.col("vft").alias("virtual_finish"), F.col("running").alias("running_tokens"))
 
 
+def shares(docs: DataFrame, weights: Mapping[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, **how) -> DataFrame:
+    """(source, tokens, target, achieved): the tokens chosen of each source, its share by weight among all sources, and its share of what was chosen.
+
+    They agree while no favoured source runs dry before the budget is spent; the
+    default budget of four fifths is more than small sources of a high weight have.
+    """
+    weights = WEIGHTS if weights is None else weights
+    have = docs.select(F.col("source").cast("string").alias("source")).distinct().withColumn("w", _weight(weights, default_weight))
+    got = mix(docs, weights, default_weight, **how).groupBy("source").agg(F.sum("n_tokens").alias("t"))
+    both = have.join(got.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    total = both.agg(F.sum("w").alias("ws"), F.sum("t").alias("ts"))
+    return both.crossJoin(F.broadcast(total)).select("source", F.col("t").alias("tokens"), (F.col("w") / F.col("ws")).alias("target"), F.try_divide("t", "ts").alias("achieved"))  # one row
+
+
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The chosen rows of ``docs`` with all their columns, as :func:`mix` chooses them, sorted by virtual finish time."""
     chosen = mix(docs, **how).groupBy(U1, U2).agg(F.count(F.lit(1)).alias(TMP + "n1"), F.min("vft").alias(TMP + "o"))
