@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 RATE = 8000
 FRAME, HOP = 512, 256
 PEAKS = 5  # strongest local maxima of a frame
-FAN = 5  # later peaks that a peak is paired with
-SPAN = 16  # frames between the two at most
+#: A peak is paired with the strongest one so many frames later, so that one disturbed frame spoils few pairs.
+AFTER = (1, 2, 4, 8, 16)
+BLOCK = 2048  # frames that are transformed together
 _FLOOR = 1e-4  # of full scale
 _WINDOW = np.hanning(FRAME)
 
-# ----------------------------------------------------------------- audio
+# -------- audio
 
 
 def to_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -40,18 +41,36 @@ def to_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
-def read_wav(data: bytes) -> tuple[np.ndarray, int]:
-    """Samples in -1..1, channels averaged, and the rate. 8, 16, 24 and 32 bits."""
-    with wave.open(io.BytesIO(data), "rb") as f:
-        width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+def _decoded(raw: bytes, width: int, channels: int) -> np.ndarray:
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1
     elif width == 3:
         b = np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
     else:
-        x = np.frombuffer(raw, "<i2" if width == 2 else "<i4") / float(1 << (8 * width - 1))
-    return x[: len(x) // channels * channels].reshape(-1, channels).mean(1), rate
+        x = np.frombuffer(raw[: len(raw) // width * width], "<i2" if width == 2 else "<i4") / float(1 << (8 * width - 1))
+    return x[: len(x) // channels * channels].reshape(-1, channels).mean(1)
+
+
+def read_wav(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples in -1..1, channels averaged, and the rate. 8, 16, 24 and 32 bits."""
+    with wave.open(io.BytesIO(data), "rb") as f:
+        return _decoded(f.readframes(f.getnframes()), f.getsampwidth(), f.getnchannels()), f.getframerate()
+
+
+def sample_blocks(data: bytes) -> tuple[int, Iterator[np.ndarray]]:
+    """The rate of a file, and its samples in blocks of BLOCK frames' steps, as :func:`read_wav` has them together."""
+    f = wave.open(io.BytesIO(data), "rb")
+    width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
+    if width not in (1, 2, 3, 4) or channels < 1:
+        raise wave.Error("unknown samples")
+
+    def blocks() -> Iterator[np.ndarray]:
+        with f:
+            while raw := f.readframes(BLOCK * HOP):
+                yield _decoded(raw, width, channels)
+
+    return rate, blocks()
 
 
 def stft(x: np.ndarray) -> np.ndarray:
@@ -78,19 +97,49 @@ def peaks(mags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, found[t, k]
 
 
-def fingerprint(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(t, hash): for each peak its FAN next peaks in later frames, within SPAN frames. hash = bin, bin, time between: 9, 9 and 6 bits."""
-    t, f = peaks(stft(x))
+def _block_peaks(blocks: Iterable[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of samples, (frame, bin) of all peaks, and the bin of each frame's strongest, -1 for none. Each block is transformed for itself."""
+    held, total, at = np.zeros(0), 0, 0
+    ts, fs, tops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def take(x: np.ndarray) -> None:
+        nonlocal at
+        mags = stft(x)
+        t, f = peaks(mags)
+        top = np.full(len(mags), -1)
+        if len(t):
+            order = np.lexsort((-f, np.round(mags[t, f], 9), t))  # the last of a frame is its strongest, of equal ones the lower
+            ends = np.flatnonzero(np.append(t[order][1:] != t[order][:-1], True))
+            top[t[order][ends]] = f[order][ends]
+        ts.append(t + at)
+        fs.append(f)
+        tops.append(top)
+        at += len(mags)
+
+    for x in blocks:
+        total += len(x)
+        held = np.concatenate([held, x])
+        whole = (len(held) - FRAME) // HOP  # leave one more frame for the end
+        if whole > 0:
+            take(held[: (whole - 1) * HOP + FRAME])
+            held = held[whole * HOP :]
+    if len(held) and not (total > FRAME and len(held) <= FRAME - HOP):
+        take(held)
+    return total, *(np.concatenate(x) for x in (ts, fs, tops))
+
+
+def fingerprint(x: np.ndarray | Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(t, hash) of samples, or of blocks of them: each peak with the strongest of the frames AFTER it. hash = bin, bin, time between: 9, 9 and 6 bits."""
+    return _paired(*_block_peaks([x] if isinstance(x, np.ndarray) else x)[1:])
+
+
+def _paired(t: np.ndarray, f: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ts, hs = [], []
-    later = np.searchsorted(t, t + 1)  # first peak of a later frame
-    for k in range(FAN):
-        j = later + k
-        ok = j < len(t)
-        i, j = np.flatnonzero(ok), j[ok]
-        near = t[j] - t[i] <= SPAN
-        i, j = i[near], j[near]
-        ts.append(t[i])
-        hs.append(f[i] << 15 | f[j] << 6 | (t[j] - t[i]))
+    for d in AFTER:
+        other = np.append(top, np.full(d, -1))[t + d]
+        ok = other >= 0
+        ts.append(t[ok])
+        hs.append(f[ok] << 15 | other[ok] << 6 | d)
     ts, hs = np.concatenate(ts), np.concatenate(hs)
     order = np.lexsort((hs, ts))
     return ts[order], hs[order]
@@ -103,10 +152,10 @@ def _notes(vectors: np.ndarray) -> np.ndarray:
     pitch = 250 + 3400 * (0.5 + np.arctan(3 * v) / np.pi)
     t = np.arange(RATE // 16) / RATE
     tone = np.sin(2 * np.pi * pitch[..., None] * t) * np.array([0.3, 0.25, 0.2, 0.15])[:, None]
-    return tone.sum(2).reshape(n, -1)
+    return tone.sum(2).reshape(n, 16 * len(t))
 
 
-# ----------------------------------------------------------------- on Spark
+# -------- on Spark
 
 _FRAMES = pa.struct([("t", pa.int32()), ("hash", pa.int32())])
 
@@ -144,8 +193,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             row = (None, None, None, None)
             if raw is not None:
                 try:
-                    x, rate = read_wav(raw)
-                    row = (rate, len(x), *fingerprint(x))
+                    rate, blocks = sample_blocks(raw)
+                    total, *found_peaks = _block_peaks(blocks)
+                    row = (rate, total, *_paired(*found_peaks))
                 except (wave.Error, EOFError, ValueError, ZeroDivisionError):
                     pass  # not a WAV file
             found.append(row)
@@ -163,8 +213,9 @@ def fingerprints(media: DataFrame) -> DataFrame:
     """(media_id, rate, samples, fingerprint) of a media column (media_id, wav); fingerprint is an array of (t, hash) in order of time.
 
     A null or unreadable file has null in all three; silence and a file without
-    samples have an empty array. Equal rows give equal rows; extra columns are
-    ignored; an empty table gives an empty result.
+    samples have an empty array. A long file is read whole, in blocks, and gives
+    the same as at once. Equal rows give equal rows; extra columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     rows = media.select(F.col("media_id").cast("long"), F.col("wav").cast("binary"))
     return rows.mapInArrow(_fingerprints, "media_id long, rate int, samples long, fingerprint array<struct<t:int,hash:int>>")
