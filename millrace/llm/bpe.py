@@ -26,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers, of some 30 bytes each; beyond it forgets all and begins anew. No result depends on it.
 _CACHE = 3_000_000
 
-# ----------------------------------------------------------------- vocabulary
+# -------- vocabulary
 
 
 class Vocabulary:
@@ -123,7 +123,7 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     return _loaded[path]
 
 
-# ----------------------------------------------------------------- pieces
+# -------- pieces
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _classes: list[np.ndarray] = []

@@ -109,7 +109,11 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 
 def drop_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with one row of each text: the one with the least doc_id. Rows with a null text all stay."""
+    """``docs`` with one row of each text: the one with the least doc_id, null being greater than all. Rows with a null text all stay.
+
+    Of rows that agree in doc_id and text one stays, with all its columns, whatever
+    their names. Empty texts are one text. An empty table stays empty.
+    """
     first = Window.partitionBy("level", "name").orderBy(F.col("doc_id").asc_nulls_last(), U1, U2)
     named = identities(docs, block_bytes).withColumn(TMP + "k", F.row_number().over(first)).filter(F.col(TMP + "k") == 1)
     kept = named.select(U1, U2, F.lit(1).cast("long").alias(TMP + "n1"), F.col("m").alias(TMP + "m"))

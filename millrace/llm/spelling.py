@@ -38,7 +38,7 @@ BURN_IN, SAMPLES = 2, 4
 _EXACT = 16  # customers seated one by one before times are drawn
 _MASK = (1 << 16) - 1
 
-# ----------------------------------------------------------------- grams
+# -------- grams
 
 
 def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_counter, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-# ----------------------------------------------------------------- seating
+# -------- seating
 
 
 def seat(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -295,7 +295,7 @@ def train(docs: DataFrame) -> str:
     return place
 
 
-# ----------------------------------------------------------------- scoring
+# -------- scoring
 
 
 class Table:

@@ -35,7 +35,7 @@ ANCHOR = 16
 SHARD_BYTES = 16 << 20
 _LANES = 4096
 
-# ----------------------------------------------------------------- one shard
+# -------- one shard
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def anchors(h: np.ndarray, least: int, size: int) -> tuple[np.ndarray, np.ndarra
     return at, grams[at]
 
 
-# ----------------------------------------------------------------- all shards
+# -------- all shards
 
 _SHARD = "doc_id long, u long, shard long, n_words long, f1 long, f2 long, a array<int>, b array<int>, at array<int>, h array<long>"
 

@@ -5,8 +5,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 
 from millrace.llm import bpe, exact, lm, media, mixing, near, quality, suffix, urls, warc
 
@@ -161,16 +163,32 @@ def test_lm_scores_every_row_alike_by_both_ways(docs, rows):
 
 
 def test_warc_gives_back_what_it_took(spark, tmp_path):
-    pages = [(1, "http://a.b/%0A\n", "<p>ü</p>"), (2, None, None), (None, "u", ""), (1, "http://a.b/%0A\n", "<p>ü</p>"), *((i, f"u{i}", "x" * i * 50) for i in range(10, 60))]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rng = random.Random(2)
+    long = [" ".join(rng.choice(["alpha", "beta", "gamma", f"n{rng.randrange(999)}"]) for _ in range(3000)) for _ in range(60)]  # over 1 MB: the dictionary is trained
+    pages = [(1, "http://a.b/%0A\n", "<p>ü</p>"), (2, None, None), (None, "u", ""), (1, "http://a.b/%0A\n", "<p>ü</p>"), *((i, f"http://h/{i}%20c", x) for i, x in enumerate(long, 10))]
+    rows = [(i, u, None if h is None else bytearray(h.encode()), 1, "x") for i, u, h in pages] + [(99, "http://raw/", bytearray(b"\xff\xfe\x00 not UTF-8"), 1, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html binary, offset int, digest string").repartition(3)
     folder = "file://" + str(tmp_path / "w")
     index = warc.write(df, folder).collect()
     back = [(r[0], r[1], r[2]) for r in warc.read(spark, folder).collect()]
-    assert sorted(back, key=repr) == sorted(pages, key=repr) and len(index) == len(pages)
+    assert sorted(back, key=repr) == sorted(((r[0], r[1], r[2]) for r in rows), key=repr) and len(index) == len(rows)
     r = index[-1]
     assert warc.read_one(f"{folder}/{r['file']}", r["offset"], r["length"])["page_id"] == r["page_id"]
 
 
+def test_warc_dictionary_is_trained_and_addresses_stay(spark):
+    rng = random.Random(3)
+    records = [warc.record(i, f"http://h/{i}%20c", " ".join(rng.choice(["alpha", "beta", f"n{rng.randrange(99)}"]) for _ in range(400)).encode()) for i in range(300)]
+    assert b"WARC-Target-URI: http://h/7%20c\r\n" in records[7]
+    raw = warc.build_dictionary(records)
+    assert zstandard.ZstdCompressionDict(raw).dict_id() > 0  # a raw prefix has no number
+    data, places = warc.pack(records)
+    assert [(a, n) for a, n, _ in warc.unpack(data)] == places and [x for *_, x in warc.unpack(data)] == records
+    assert [x for *_, x in warc.unpack(warc.pack(records[:1])[0])] == records[:1]
+    foreign = b"WARC/1.0\r\nwarc-type: response\r\nContent-Length: 3\r\nWARC-Truncated: length\r\n\r\nabc\r\n\r\n"
+    assert warc.parse(foreign) == {"page_id": None, "url": None, "html": b"abc", "record_id": None, "digest": None}
+
+
 def test_urls_without_host_are_not_kept(spark):
     pages = spark.createDataFrame([(1, "http://a.example.com/1"), (2, None), (3, "nonsense"), (4, "http://A.example.com./2")], "page_id long, url string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
@@ -215,3 +233,128 @@ def test_urls_name_their_document_last_in_the_path(spark):
     labels = spark.createDataFrame([(i, int(i in (123, 5, 7, 9)), 0) for i in (2024, 123, 5, 1, 7, 8, 9)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: (r["n_labelled"], r["n_good"]) for r in urls.filter_urls(pages, labels).collect()}
     assert got == {k: (1, 1) for k in (1, 2, 3, 4)}
+
+
+def test_urls_against_a_second_reading_by_hand(spark):
+    """Beta-binomial shrinkage of repeated, labelled and unlabelled pages, in plain Python; other columns clash with working names."""
+    rng = random.Random(4)
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "x.com", "y.x.com", "news.com.sg", "10.0.0.1", "localhost"]
+    pages = [(i, f"http://{rng.choice(hosts)}:80/{'p/' * rng.randrange(3)}{rng.randrange(60)}.html?q=/9#/8", "h", 1.0) for i in range(300)]
+    pages += pages[:20] + [(1000, "http://u@X.com./" + "long/" * 5000 + "3", "h", 1.0), (1001, "", "h", 1.0)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, host string, s double").repartition(3)
+    got = {(r["page_id"]): r for r in urls.filter_urls(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    good = {i: q for i, q, _ in labels}
+    tries = defaultdict(lambda: [0, 0])
+    for _, u, *_ in pages:
+        if u:
+            host = u.split("://")[1].split("/")[0].split("@")[-1].split(":")[0].rstrip(".").lower()
+            last = [x for x in u.split("?")[0].replace(".html", "").split("/")[3:] if x.isdigit()][-1]
+            tries[host][0] += int(last) in good
+            tries[host][1] += good.get(int(last), 0)
+    names = {"a.shop.co.uk": ("shop.co.uk", "co.uk"), "b.shop.co.uk": ("shop.co.uk", "co.uk"), "x.com": ("x.com", "com"), "y.x.com": ("x.com", "com"), "news.com.sg": ("news.com.sg", "com.sg"), "10.0.0.1": ("10.0.0.1",) * 2, "localhost": ("localhost",) * 2}
+
+    def level(rows):  # name: (n, k, parent's mean) -> strength
+        q = sum(n * (k / n - m) ** 2 for n, k, m in rows.values() if n)
+        a, b = sum(m * (1 - m) for n, _, m in rows.values() if n), sum(m * (1 - m) * (n - 1) for n, _, m in rows.values() if n)
+        rho = (q - a) / b if b > 0 else 0
+        return 1000.0 if rho <= 0 else min(1000.0, max(1.0, 1 / rho - 1)) if rho < 1 else 1.0
+
+    total = [sum(x[i] for x in tries.values()) for i in (0, 1)]
+    mean, means = (total[1] + 1) / (total[0] + 2), {}
+    for depth in (1, 0, None):
+        rows = defaultdict(lambda: [0, 0, 0.0])
+        for h, (n, k) in tries.items():
+            key = h if depth is None else names[h][depth]
+            parent = mean if depth == 1 else means[names[h][1 if depth == 0 else 0], 1 if depth == 0 else 0]
+            rows[key] = [rows[key][0] + n, rows[key][1] + k, parent]
+        s = level(rows)
+        for key, (n, k, m) in rows.items():
+            means[key, depth] = (k + s * m) / (n + s)
+    for r in got.values():
+        if r["host"]:
+            assert (r["domain"], r["suffix"]) == names[r["host"]] and [r["n_labelled"], r["n_good"]] == tries[r["host"]]
+            assert r["posterior_mean"] == pytest.approx(means[r["host"], None], abs=1e-5)
+    assert got[1000]["host"] == "x.com" and got[1001]["host"] is None and not got[1001]["keep"]
+
+
+def test_url_suffix_rules_in_the_usual_format(spark, tmp_path):
+    path = tmp_path / "list"
+    path.write_text("// comment\n\ncom\nck\n*.ck\n!www.ck\nco.uk\na.b.co.uk\n", encoding="utf-8")
+    rules = urls.suffix_rules(str(path))
+    hosts = ["x.y.com", "x.y.ck", "z.x.y.ck", "www.ck", "p.www.ck", "q.co.uk", "r.a.b.co.uk", "com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = [tuple(r) for r in df.select(urls.suffix_of(df["h"], rules), urls.domain_of(df["h"], rules)).collect()]
+    assert got == [("com", "y.com"), ("y.ck", "x.y.ck"), ("y.ck", "x.y.ck"), ("ck", "www.ck"), ("ck", "www.ck"), ("co.uk", "q.co.uk"), ("a.b.co.uk", "r.a.b.co.uk"), ("com", "com")]
+
+
+def test_fingerprints_are_those_of_brute_force(spark):
+    """A plain transform of each frame by its definition, and peaks paired one by one; long files, NaN, repeats and clashing names."""
+    rng = np.random.default_rng(5)
+    vectors = [(1, [float(x) for x in rng.normal(size=64)]), (2, [float("nan"), None, 1.0]), (1, None), (3, [])]
+    rows = spark.createDataFrame([*vectors, vectors[0]], "vec_id long, embedding array<double>").repartition(2)
+    wavs = media.render(rows)
+    out = media.fingerprints(wavs.selectExpr("*", "1 as rate", "2 as samples", "3 as fingerprint")).collect()
+    assert sorted((r["media_id"], r["samples"]) for r in out if r["samples"] is not None) == [(1, 8000), (1, 8000), (2, 8000), (3, 0)] and len(out) == 5
+    angle = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME), np.arange(media.FRAME // 2 + 1)) / media.FRAME)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    for w, r in zip(sorted(wavs.collect(), key=lambda r: (r[0], r[1] is None)), sorted(out, key=lambda r: (r[0], r[1] is None)), strict=True):
+        if w["wav"] is None:
+            continue
+        x, _ = media.read_wav(bytes(w["wav"]))
+        found, at = [], 0
+        while len(x) and (at == 0 or at + media.FRAME - media.HOP < len(x)):
+            piece = np.append(x[at : at + media.FRAME], np.zeros(max(0, at + media.FRAME - len(x))))
+            m = np.round(np.abs((piece * hann) @ angle) / (media.FRAME / 4), 9)
+            local = [k for k in range(1, media.FRAME // 2) if m[k] > m[k - 1] and m[k] >= m[k + 1] and m[k] > 1e-4]
+            found.append(sorted(local, key=lambda k: (-m[k], k))[: media.PEAKS])
+            at += media.HOP
+        want = sorted((t, f << 15 | found[t + d][0] << 6 | d) for t, fs in enumerate(found) for f in fs for d in media.AFTER if t + d < len(found) and found[t + d])
+        assert [tuple(y) for y in r["fingerprint"]] == want
+    x = media._notes(rng.normal(size=(200, 64))).ravel()  # several blocks
+    t, h = media.fingerprint(x)
+    t2, h2 = media.fingerprint(media.sample_blocks(media.to_wav(x))[1])
+    t3, h3 = media.fingerprint(media.read_wav(media.to_wav(x))[0])
+    assert np.array_equal(t2, t3) and np.array_equal(h2, h3) and len(t) > 0
+
+
+def _machine(seed=3):
+    rng = np.random.default_rng(seed)
+    size, heads = quality.SIZE, 2
+    return quality.Model(rng.normal(size=heads), rng.normal(size=(size, heads)).astype(np.float32), rng.normal(size=(size, heads * quality.RANK)).astype(np.float32))
+
+
+def test_quality_scores_are_those_of_all_pairs():
+    texts = pa.array(["the cat sat", "", None, "$$ a a b 12", "x"])
+    rows, feats, vals = quality.features(texts, pa.array(["s"] * 5), pa.array([None] * 5, pa.string()))
+    m = _machine()
+    got = quality.raw_scores(m, rows, feats, vals, 5)
+    for i in range(5):
+        f, x = feats[rows == i], vals[rows == i].astype(float)
+        for head in range(2):
+            v = m.v[f][:, head * quality.RANK : (head + 1) * quality.RANK].astype(float)
+            pairs = sum(float(v[a] @ v[b]) * x[a] * x[b] for a in range(len(f)) for b in range(a))
+            assert got[i, head] == pytest.approx(m.w0[head] + float(m.w[f, head] @ x) + pairs, rel=1e-4, abs=1e-3)
+
+
+def test_quality_hashes_whole_names_and_bounds_what_it_trains_on(spark):
+    names = ["common-crawl-2019", "common-crawl-2024", "abcdefgh-1", "abcdefgh-2", None, "\0", ""]
+    assert len(set(quality._meta(pa.array(names), 0).tolist())) == len(names)
+    rows = [(1, f"text {i}", "en", "s") for i in range(3000)] + [(2, "same words", "en", "s")] * 500 + [(i, f"w{i} " * 200, "en", "s") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(60)] + [(2, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    few = quality._training_rows(docs, labels, 100, 1 << 30)
+    assert few.select("h1", "h2").distinct().count() <= 100
+    few = quality._training_rows(docs, labels, 8000, 2000).select("h1", "h2", "text").distinct().collect()
+    assert 0 < sum(len(r["text"]) for r in few) <= 2000
+    two = [tuple(r) for r in quality._training_rows(docs, labels, 8000, 1 << 30).filter("doc_id = 2").select("good", "toxic").distinct().collect()]
+    assert two == [(0, 1)]
+
+
+def test_words_of_scripts_without_spaces():
+    from millrace.llm.common import words
+
+    texts = ["漢字かな test", "a\u00a0b\u3000c", "ไทย", "plain words", "é à"]
+    k = words(pa.array(texts))
+    got = [[k.data[a:b].tobytes().decode() for a, b, d in zip(k.start, k.end, k.doc, strict=True) if d == i] for i in range(5)]
+    assert got == [["漢", "字", "か", "な", "test"], ["a", "b", "c"], ["ไ", "ท", "ย"], ["plain", "words"], ["é", "à"]]
