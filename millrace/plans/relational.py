@@ -25,7 +25,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "filter_cmp": "SELECT c_custkey FROM {customer} WHERE c_acctbal > 0 AND c_acctbal <= 5000 AND c_nationkey <> 1",
     "filter_between": "SELECT p_partkey FROM {part} WHERE p_size BETWEEN 10 AND 20",
     "filter_like_ci": "SELECT n_nationkey, n_name FROM {nation} WHERE n_name ILIKE '%A%'",
-    "filter_null": "SELECT count(*) AS n_rows, count(nullif(o_orderstatus, 'F')) AS n_known FROM {orders} WHERE nullif(o_orderstatus, 'F') IS NULL OR o_orderkey IS NOT NULL",
+    "filter_null": "SELECT o_orderkey, nullif(o_orderstatus, 'F') IS NULL AS unknown FROM {orders} WHERE nullif(o_orderpriority, '1-URGENT') IS NULL OR (nullif(o_orderstatus, 'F') IS NOT NULL AND o_totalprice > 1000)",
     "expr_case": "SELECT s_suppkey, CASE WHEN s_acctbal >= 5000 THEN 'high' WHEN s_acctbal >= 0 THEN 'mid' ELSE 'low' END AS grade FROM {supplier}",
     "expr_if_nullif": "SELECT s_suppkey, if(s_acctbal > 0, 1, 0) AS positive, nullif(s_nationkey, 3) AS other_nation FROM {supplier}",
     "expr_coalesce": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment FROM {customer}",
@@ -54,17 +54,32 @@ SQL: dict[str, str | tuple[str, str]] = {
     "subq_scalar": "SELECT s_suppkey FROM {supplier} WHERE s_acctbal > (SELECT avg(s_acctbal) FROM {supplier})",
     "semi_in": "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000)",
     "semi_exists": "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'O')",
-    "anti_not_exists": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
-    "anti_not_in": "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 25)",
+    "anti_not_exists": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)",
+    # NOT IN as an anti join on distinct keys; what nulls do is left to numbers of rows, so that nothing that grows is broadcast
+    "anti_not_in": (
+        "SELECT p_partkey FROM {part} LEFT ANTI JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_quantity > 47) ON p_partkey = l_partkey WHERE (SELECT count_if(l_partkey IS NULL) FROM {lineitem} WHERE l_quantity > 47) = 0 AND (p_partkey IS NOT NULL OR (SELECT count(*) FROM {lineitem} WHERE l_quantity > 47) = 0)",
+        "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 47)",
+    ),
+    "anti_not_in_null": (
+        "SELECT count(*) AS n, count(DISTINCT k % 2) AS kinds FROM (SELECT p_partkey AS k FROM {part} LEFT ANTI JOIN (SELECT DISTINCT nullif(l_partkey, 7) AS x FROM {lineitem}) ON p_partkey = x WHERE (SELECT count_if(nullif(l_partkey, 7) IS NULL) FROM {lineitem}) = 0)",
+        "SELECT count(*) AS n, count(DISTINCT k % 2) AS kinds FROM (SELECT p_partkey AS k FROM {part} WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 7) FROM {lineitem}))",
+    ),
     "subq_correlated": "SELECT s_suppkey, s_nationkey FROM {supplier} s WHERE s_acctbal = (SELECT max(x.s_acctbal) FROM {supplier} x WHERE x.s_nationkey = s.s_nationkey)",
+    # > ALL and > ANY by one row of aggregates: true of no row at all, or beyond the greatest if no null is there; beyond the least
     "quant_all": (
-        "SELECT s_suppkey FROM {supplier} s WHERE NOT EXISTS (SELECT 1 FROM {supplier} x WHERE x.s_nationkey = 3 AND (s.s_acctbal > x.s_acctbal) IS NOT TRUE)",
+        "SELECT s_suppkey FROM {supplier} WHERE (SELECT count(*) FROM {supplier} WHERE s_nationkey = 3) = 0 OR ((SELECT count_if(s_acctbal IS NULL) FROM {supplier} WHERE s_nationkey = 3) = 0 AND s_acctbal > (SELECT max(s_acctbal) FROM {supplier} WHERE s_nationkey = 3))",
         "SELECT s_suppkey FROM {supplier} WHERE s_acctbal > ALL (SELECT s_acctbal FROM {supplier} WHERE s_nationkey = 3)",
     ),
+    "quant_all_empty": (
+        "SELECT s_suppkey FROM {supplier} WHERE (SELECT count(*) FROM {supplier} WHERE s_nationkey = 99) = 0 OR ((SELECT count_if(s_acctbal IS NULL) FROM {supplier} WHERE s_nationkey = 99) = 0 AND s_acctbal > (SELECT max(s_acctbal) FROM {supplier} WHERE s_nationkey = 99))",
+        "SELECT s_suppkey FROM {supplier} WHERE s_acctbal > ALL (SELECT s_acctbal FROM {supplier} WHERE s_nationkey = 99)",
+    ),
     "quant_any": (
-        "SELECT s_suppkey FROM {supplier} s WHERE EXISTS (SELECT 1 FROM {supplier} x WHERE x.s_nationkey = 3 AND s.s_acctbal > x.s_acctbal)",
+        "SELECT s_suppkey FROM {supplier} WHERE s_acctbal > (SELECT min(s_acctbal) FROM {supplier} WHERE s_nationkey = 3)",
         "SELECT s_suppkey FROM {supplier} WHERE s_acctbal > ANY (SELECT s_acctbal FROM {supplier} WHERE s_nationkey = 3)",
     ),
+    "join_comma": "SELECT n_name, s_suppkey FROM {nation}, {supplier} WHERE s_nationkey = n_nationkey AND s_acctbal > 0",
+    "in_list_long": "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT DISTINCT o_custkey FROM {orders} WHERE o_totalprice > 100000)",
     "derived_table": "SELECT d.k AS nation, d.n AS n FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY c_nationkey) d WHERE d.n > 10",
     "agg_nested": "SELECT round(max(a), 6) AS top FROM (SELECT avg(o_totalprice) AS a FROM {orders} GROUP BY o_custkey) t",
     # aggregation, order, sets
@@ -79,7 +94,7 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey",
         "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey",
     ),
-    "dup_check": "SELECT c_name, count(*) AS n FROM {customer} GROUP BY c_name HAVING count(*) > 1",
+    "dup_check": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1",
     "sort_multi": "SELECT s_nationkey, s_suppkey FROM {supplier} ORDER BY s_nationkey DESC, s_suppkey",
     "topk": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "topk_offset": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20",
@@ -87,21 +102,38 @@ SQL: dict[str, str | tuple[str, str]] = {
     "union_distinct": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",
     "union_branch_limit": "(SELECT s_suppkey AS k FROM {supplier} ORDER BY s_suppkey LIMIT 3) UNION ALL (SELECT c_custkey FROM {customer} ORDER BY c_custkey DESC LIMIT 3)",
     "set_intersect": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
-    "set_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}",
+    "set_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderkey % 3 = 0",
     "agg_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "window_rank": "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM {supplier}",
     "cte": "WITH big AS (SELECT o_custkey, o_totalprice FROM {orders} WHERE o_totalprice > 100000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey",
     # tables after a change, as the query of the new contents
-    "update_rows": "SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN round(s_acctbal * 1.1, 2) ELSE s_acctbal END AS s_acctbal FROM {supplier}",
     "update_subquery": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000) THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment FROM {customer}",
     "update_join": "SELECT s_suppkey, round(s_acctbal + coalesce(n_regionkey, 0), 2) AS s_acctbal FROM {supplier} LEFT JOIN {nation} ON s_nationkey = n_nationkey",
-    "delete_rows": "SELECT s_suppkey FROM {supplier} WHERE NOT coalesce(s_acctbal < 0, false)",
-    "delete_subquery": "SELECT c_custkey FROM {customer} WHERE NOT coalesce(c_custkey NOT IN (SELECT o_custkey FROM {orders}), false)",
-    "auto_increment": (
-        "SELECT r_name, cast((SELECT max(n_nationkey) FROM {nation}) + row_number() OVER (ORDER BY r_regionkey) AS bigint) AS id FROM {region}",
-        "SELECT r_name, CAST((SELECT max(n_nationkey) FROM {nation}) + row_number() OVER (ORDER BY r_regionkey) AS BIGINT) AS id FROM {region}",
+    # DELETE ... WHERE key NOT IN (...): what is left
+    "delete_subquery": (
+        "SELECT c_custkey FROM {customer} LEFT JOIN (SELECT DISTINCT o_custkey FROM {orders} WHERE o_totalprice > 200000) ON c_custkey = o_custkey WHERE o_custkey IS NOT NULL OR (SELECT count_if(o_custkey IS NULL) FROM {orders} WHERE o_totalprice > 200000) > 0 OR (c_custkey IS NULL AND (SELECT count(*) FROM {orders} WHERE o_totalprice > 200000) > 0)",
+        "SELECT c_custkey FROM {customer} WHERE NOT coalesce(c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000), false)",
+    ),
+    "agg_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, cast(grouping(l_returnflag) AS int) AS g FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "agg_grouping_sets": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())",
+    "agg_approx": (
+        "SELECT abs(approx_count_distinct(l_partkey) / count(DISTINCT l_partkey) - 1) < 0.15 AS distinct_near, abs(approx_percentile(l_quantity, 0.5) - percentile(l_quantity, 0.5)) <= 1 AS median_near FROM {lineitem}",
+        "SELECT true AS distinct_near, true AS median_near",
+    ),
+    "window_frame": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS quarter FROM {orders}",
+    "cte_recursive": "WITH RECURSIVE t(k, depth) AS (SELECT 1, 1 UNION ALL SELECT k * 2, depth + 1 FROM t WHERE k < 1000) SELECT k, depth, n_name FROM t LEFT JOIN {nation} ON n_nationkey = k",
+    "join_natural": "SELECT k, a, b FROM (SELECT c_custkey AS k, c_nationkey AS a FROM {customer}) NATURAL JOIN (SELECT s_suppkey AS k, s_nationkey AS b FROM {supplier})",
+    "join_range": "SELECT s_suppkey, count(*) AS n FROM {supplier} JOIN {customer} ON s_nationkey = c_nationkey AND c_acctbal BETWEEN s_acctbal - 500 AND s_acctbal + 500 GROUP BY s_suppkey",
+    "num_functions": "SELECT o_orderkey, cast(floor(o_totalprice / 1000) AS bigint) AS thousands, o_orderkey % 7 AS m, abs(-o_totalprice) AS p, sign(o_totalprice - 100000) AS s FROM {orders}",
+    "unix_time": (
+        "SELECT event_id, unix_micros(cast(ts AS timestamp)) DIV 1000000 AS seconds FROM {events}",
+        "SELECT event_id, epoch_us(ts) // 1000000 AS seconds FROM {events}",
+    ),
+    "substring_index_last": (
+        "SELECT p_partkey, substring_index(p_name, ' ', -1) AS last_word FROM {part}",
+        "SELECT p_partkey, string_split(p_name, ' ')[-1] AS last_word FROM {part}",
     ),
-    "schema_evolution": "SELECT n_nationkey AS id, n_name, coalesce(cast(NULL AS string), 'new') AS added FROM {nation}",
+    "selectivity_est": "SELECT o_custkey % 5 AS k, count(*) AS n, round(count(*) / (SELECT count(*) FROM {orders}), 6) AS share FROM {orders} GROUP BY o_custkey % 5",
     "part_range": "SELECT CASE WHEN o_orderkey < 1000 THEN 'p0' WHEN o_orderkey < 5000 THEN 'p1' ELSE 'pmax' END AS part, count(*) AS n FROM {orders} GROUP BY 1",
     "part_list": "SELECT CASE WHEN n_regionkey IN (0, 1) THEN 'west' WHEN n_regionkey IN (2, 3) THEN 'east' ELSE 'rest' END AS part, count(*) AS n FROM {nation} GROUP BY 1",
     "part_hash": "SELECT o_custkey % 4 AS part, count(*) AS n FROM {orders} GROUP BY 1",

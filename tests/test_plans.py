@@ -1,8 +1,5 @@
 import pytest
 import verify
-from pyspark.sql import functions as F
-
-from millrace.operators import access, search
 from millrace.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -16,27 +13,3 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
     assert verify.compare(QUERIES[name](spark, SF), con, ORACLE_SQL[name]) == ""
-
-
-def test_phrases_follow_each_other_in_the_kept_words(spark):
-    rows = [(1, "The lazy dog sleeps"), (2, "a lazy dog and a quick fox"), (3, "dog lazy"), (4, None), (5, "the fox is quick")]
-    df = spark.createDataFrame(rows, "id long, body string")
-    ids = lambda q: sorted(r[0] for r in search.fts_search(df, "id", ["body"], q, "boolean").collect())
-    assert ids('"lazy dog"') == [1, 2]
-    assert ids('"fox quick"') == [5]
-    assert ids('+"lazy dog" -quick') == [1]
-    assert ids("-quick +lazy") == [1, 3]
-    assert ids("") == []
-
-
-def test_upsert_keeps_rows_with_a_null_key(spark):
-    t = spark.createDataFrame([(1, 1.0), (None, 2.0)], "k long, v double")
-    b = spark.createDataFrame([(1, 5.0), (3, 6.0)], "k long, v double")
-    got = sorted(access.upsert(t, b, "k").collect(), key=str)
-    assert sorted(map(tuple, got), key=str) == sorted([(1, 5.0), (None, 2.0), (3, 6.0)], key=str)
-
-
-def test_expiry_falls_through_values_that_are_not_positive(spark):
-    df = spark.createDataFrame([(1, 5), (2, 0), (3, None)], "id long, ttl long")
-    got = df.select("id", access.expires_at(F.lit(100), F.col("ttl"), F.lit(-1), F.lit(7)).alias("e")).collect()
-    assert {r[0]: r[1] for r in got} == {1: 105, 2: 107, 3: 107}
