@@ -89,9 +89,10 @@ def parse(query: str, stop: Sequence[str] = STOP, blend: str = "") -> list[Term]
 
 
 def _in_order(kept: Column, words: Sequence[str]) -> Column:
-    """Whether the words follow each other in the array."""
+    """Whether the words follow each other in the array, which is computed once, not for each place."""
     k, want = len(words), F.array(*map(F.lit, words))
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(kept) - k + 1, F.lit(1))), lambda i: F.slice(kept, i, F.lit(k)) == want)
+    found = lambda ts: F.exists(F.sequence(F.lit(1), F.greatest(F.size(ts) - k + 1, F.lit(1))), lambda i: F.slice(ts, i, F.lit(k)) == want)
+    return F.exists(F.array(kept), found)
 
 
 def postings(df: DataFrame, key: str, cols: Sequence[str], stop: Sequence[str] = STOP, blend: str = "") -> DataFrame:
