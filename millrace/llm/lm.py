@@ -16,11 +16,13 @@ them as they change. That is done twice: from plain counts of words, and after
 BURN_IN sweeps, when the root is seated anew and discounts and strengths are drawn
 from their conditionals.
 
-A word that has more than CAP customers as a last context word has several
-restaurants, and its longer contexts are divided among them; a longer context of
-more than half of CAP is itself divided by occurrences. The most frequent words'
-restaurants lie in several partitions. So neither a frequent word nor a frequent
-pair of words makes a large task or a long chain.
+The longer contexts of a last word that fills more than a share of 1 / HOT of a
+partition are divided among several; so are the occurrences of such a pair of words.
+Those partitions hold one restaurant of the word together: after BURN_IN sweeps each
+learns what the others have of each of its dishes, and of customers and tables in all,
+as it learns the root's probabilities. So neither a frequent word nor a frequent pair of words makes a large
+task, and none is scored by a part of its customers only. How a large restaurant avoids
+long chains is in ``seating``.
 """
 
 from __future__ import annotations
@@ -44,10 +46,12 @@ from millrace.llm.seating import Hyper, Subtrees
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # before a text, twice, and after it; the latter is spelled as an empty word
 BURN_IN, SAMPLES = 3, 4
-#: Customers of a restaurant of one word before the word has another one.
+#: Customers of one subtree that wait for one another; also of a part of a dish in a restaurant.
 CAP = 512
 #: A partition's worth of words is so many times what makes a word hot, so at most that many a partition are sent to tasks.
 HOT = 16
+#: Words that are sent by their number among these, the most frequent ones.
+COMMON = 60_000
 LEAST = -600.0
 #: Words of a partition, of some 100 bytes each at its peak; to be raised with the memory of executors.
 PART_WORDS = 1_000_000
@@ -95,14 +99,15 @@ def _lean() -> None:
         libc.malloc_trim(0)
 
 
-def _bytes_of(rows: Iterator) -> Iterator[np.ndarray]:
+def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each byte occurs in texts, and after them the number of texts."""
     total = np.zeros(257, np.int64)
-    for part in _slices(rows, 4 << 20):
-        data, _ = utf8(pa.array([r[0] for r in part], pa.string()))
-        total[:256] += np.bincount(data, minlength=256)
-        total[256] += len(part)
-    yield total
+    for batch in batches:
+        for a, b in pieces(batch.column(0)):
+            data, _ = utf8(batch.column(0).slice(a, b - a))
+            total[:256] += np.bincount(data, minlength=256)
+        total[256] += batch.num_rows
+    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n"])
 
 
 def byte_logs(total: np.ndarray) -> list[float]:
@@ -183,12 +188,44 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32)
 
 
+def _thin(x: np.ndarray) -> tuple[str, bytes]:
+    """Unsigned integers as few bytes as they need, all first bytes before all second ones, as this compresses better."""
+    x = _narrow(x)
+    return x.dtype.char, x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _thick(x: tuple[str, bytes]) -> np.ndarray:
+    kind = np.dtype(x[0])
+    return np.ascontiguousarray(np.frombuffer(x[1], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def _sent(source: int, common: np.ndarray, a: np.ndarray, c: np.ndarray, doc: np.ndarray, lasts: np.ndarray, many: np.ndarray) -> bytes:
+    """A message of occurrences: ``many`` of each of ``lasts``, documents ascending in each."""
+    known, x = np.unique(np.concatenate([a, c]), return_inverse=True)
+    at = np.minimum(np.searchsorted(common, known), len(common) - 1) if len(common) else np.zeros(len(known), np.int64)
+    often = common[at] == known if len(common) else np.zeros(len(known), bool)
+    place = np.where(often, np.cumsum(often), often.sum() + np.cumsum(~often)) - 1
+    x, number = place[x.ravel()], at[often]
+    return _pack(("words", source, known[~often].tobytes(), _thin(np.diff(number, prepend=0)), _thin(x[: len(a)]), _thin(x[len(a) :]), doc.dtype.char, _thin(np.diff(doc, prepend=doc.dtype.type(0))), lasts.tobytes(), _thin(many)))
+
+
+class _Words:
+    """A message of occurrences as it comes: words before the last one, words after it and documents of each; words of both; last words and how often they are."""
+
+    def __init__(self, x: tuple, common: np.ndarray):
+        _, self.source, rare, number, a, c, kind, doc, lasts, many = x
+        self.known = np.concatenate([common[np.cumsum(_thick(number), dtype=np.int64)], np.frombuffer(rare, np.uint64)])
+        self.a, self.c, self.many = _thick(a), _thick(c), _thick(many)
+        self.doc = np.cumsum(_thick(doc).astype(kind), dtype=kind)
+        self.lasts = np.frombuffer(lasts, np.uint64)
+
+
 class _Hot:
-    """The words that have restaurants in several partitions, with their counts: sorted hashes, at most HOT a partition and BEGIN."""
+    """The words of more than ``piece`` occurrences, which lie in several partitions, with their counts: sorted hashes, at most HOT a partition and BEGIN."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, piece: int):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.total = hashes[order], counts[order], max(1, total)
+        self.hashes, self.counts, self.total, self.piece = hashes[order], counts[order], max(1, total), piece
 
     def count(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -197,44 +234,42 @@ class _Hot:
         return np.where(self.hashes[at] == h, self.counts[at], 0)
 
     def bucket(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which of the last word's restaurants each occurrence goes to; 0 for words that aren't hot."""
+        """Which part of the last word's restaurant each occurrence goes to; 0 for words that aren't hot."""
         out = np.zeros(len(b), np.int64)
         nb = self.count(b)
-        at = np.flatnonzero(nb > CAP)
+        at = np.flatnonzero(nb > self.piece)
         if len(at):
             nb, na = nb[at], self.count(a[at])
-            shares = -(-nb // CAP)
+            shares = -(-nb // self.piece)
             # a pair of two hot words may be hot itself: some times as frequent as by chance
             often = np.where(b[at] == BEGIN, nb, np.minimum(np.minimum(na, nb), 4 * na.astype(np.float64) * nb / self.total))
-            parts = np.maximum(1, np.ceil(often / CAP)).astype(np.int64)
+            parts = np.maximum(1, np.ceil(often / self.piece)).astype(np.int64)
             out[at] = ((mix(a[at]) >> np.uint64(8)).astype(np.int64) % shares + np.arange(len(at)) % parts) % shares
         return out
 
 
-def _occurrences(n: int, hot: _Hot):
+def _occurrences(n: int, held_hot):
     def run(number: int, rows: Iterator) -> Iterator[tuple[int, bytes]]:
         """To the partition of the context's last word: words with contexts and documents; a chunk's documents themselves go to one of them."""
         _lean()
+        hot, common = held_hot.value
         source, held, ids, sizes, count = number << 32, [], [], [], 0
 
         def flush() -> Iterator[tuple[int, bytes]]:
             a, b, c, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            part = hot.bucket(a, b)
-            tree = b + part.astype(np.uint64) * _MULT[1]
-            to = _owner(tree, n).astype(np.uint16 if n < 1 << 16 else np.uint32)
+            to = _owner(b + hot.bucket(a, b).astype(np.uint64) * _MULT[1], n).astype(np.uint16 if n < 1 << 16 else np.uint32)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(n + 1))
             del to
+            doc = _narrow(doc)
             yield source % n, _pack(("docs", source, np.concatenate(ids), np.concatenate(sizes)))
             for q in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[q] : edges[q + 1]]
-                at = at[np.argsort(tree[at], kind="stable")]
-                first = np.flatnonzero(np.append(True, tree[at][1:] != tree[at][:-1]))
-                known, x = np.unique(np.concatenate([a[at], c[at]]), return_inverse=True)
-                x = _narrow(x).reshape(2, -1)
-                runs = (b[at][first], _narrow(part[at][first]), _narrow(np.diff(np.append(first, len(at)))))
-                yield q, _pack(("words", source, known, x[0], x[1], _narrow(doc[at]), *runs))
+                at = at[np.argsort(b[at], kind="stable")]
+                last = b[at]
+                first = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
+                yield q, _sent(source, common, a[at], c[at], doc[at], last[first], np.diff(np.append(first, len(at))))
 
         for part in _slices(rows, 2 << 20):
             texts = pa.array([r[1] for r in part], pa.string())
@@ -263,13 +298,14 @@ def _occurrences(n: int, hot: _Hot):
 class _Dishes:
     """The words of a partition, and how often each occurs: its customers at the root before any is seated."""
 
-    def __init__(self, rows: Iterator[tuple[int, bytes]]):
+    def __init__(self, rows: Iterator[tuple[int, bytes]], common: np.ndarray):
         known, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, raw in rows:
             x = _unpack(raw)
             if x[0] == "words":
-                n = np.bincount(x[4], minlength=len(x[2]))
-                known.append(x[2][n > 0])
+                x = _Words(x, common)
+                n = np.bincount(x.c, minlength=len(x.known))
+                known.append(x.known[n > 0])
                 counts.append(n[n > 0])
         self.words, of = np.unique(np.concatenate(known), return_inverse=True)
         self.counts = np.bincount(of, np.concatenate(counts), minlength=len(self.words)).astype(np.int64)
@@ -284,73 +320,82 @@ class _Dishes:
 class _Held:
     """What a partition holds: the subtrees of some last context words, and the occurrences that they are made of."""
 
-    def __init__(self, rows: Iterator[tuple[int, bytes]]):
+    def __init__(self, rows: Iterator[tuple[int, bytes]], held_hot):
         _lean()
-        self.docs, blobs, replies = [], [], {}
+        self.hot, common = held_hot.value
+        self.docs, blobs, self.replies, self.others = [], [], {}, {}
         for _, raw in rows:
             x = _unpack(raw)
             if x[0] == "docs":
                 self.docs.append(raw)
             elif x[0] == "words":
-                blobs.append(x[1:])
+                blobs.append(_Words(x, common))
             else:
-                replies[x[1]] = x[2:]
-        blobs.sort(key=lambda x: x[0])
-        self.replies = replies
-        self.sources = [(x[0], x[4]) for x in blobs]
+                (self.others if x[0] == "others" else self.replies)[x[1]] = x[2:]
+        blobs.sort(key=lambda x: x.source)
+        self.sources = [(x.source, x.doc) for x in blobs]
         none = np.zeros(0, np.uint64)
-        self.known = known = np.unique(np.concatenate([none, *(x[1] for x in blobs)]))
-        total = sum(len(x[2]) for x in blobs)
+        self.known = known = np.unique(np.concatenate([none, *(x.known for x in blobs)]))
+        total = sum(len(x.a) for x in blobs)
         a, c, tree = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32)
-        # subtrees are named by last word and restaurant
-        self.lasts, place = np.unique(np.concatenate([none, *(x[5] + x[6].astype(np.uint64) * _MULT[1] for x in blobs)]), return_inverse=True)
-        self.last_word = np.zeros(len(self.lasts), np.uint64)
-        self.last_word[place] = np.concatenate([none, *(x[5] for x in blobs)])
+        self.tree_word, place = np.unique(np.concatenate([none, *(x.lasts for x in blobs)]), return_inverse=True)
         at = run = 0
         for x in blobs:
-            to, m = np.searchsorted(known, x[1]).astype(np.int32), len(x[2])
-            a[at : at + m], c[at : at + m] = to[x[2]], to[x[3]]
-            tree[at : at + m] = np.repeat(place[run : run + len(x[5])], x[7])
-            at, run = at + m, run + len(x[5])
+            to, m = np.searchsorted(known, x.known).astype(np.int32), len(x.a)
+            a[at : at + m], c[at : at + m] = to[x.a], to[x.c]
+            tree[at : at + m] = np.repeat(place[run : run + len(x.lasts)], x.many)
+            at, run = at + m, run + len(x.lasts)
         blobs.clear()
-        self._divide(a, tree)
         # contexts of two words, entries, dishes of one word, dishes
         wide = lambda x, y: x.astype(np.int64) << 32 | y
-        pairs, leaf = np.unique(wide(self.tree, a), return_inverse=True)
-        del a, tree, self.tree
+        pairs, leaf = np.unique(wide(tree, a), return_inverse=True)
+        del a, tree
         leaf = leaf.astype(np.int32)
         self.tree_of_leaf, self.first_word = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int64)
         grams, self.gram, self.n = np.unique(wide(leaf, c), return_inverse=True, return_counts=True)
         del c, leaf
         self.gram = self.gram.astype(np.int32)
+        self.same = self.same2 = None
+        many = -(-self.n // CAP)
+        if len(many) and many.max() > 1:
+            grams = self._divide(grams, many)
         self.leaf, self.dish_word = grams >> 32, grams & 0xFFFFFFFF
         twos, self.two = np.unique(wide(self.tree_of_leaf[self.leaf], self.dish_word), return_inverse=True)
+        size = np.bincount(self.two, self.n, minlength=len(twos)).astype(np.int64)
+        if len(size) and size.max() > CAP:
+            twos = self._divide2(twos, size)
+        self.tree2 = twos >> 32
         self.dishes, self.dish = np.unique(twos & 0xFFFFFFFF, return_inverse=True)
 
-    def _divide(self, a: np.ndarray, tree: np.ndarray) -> None:
-        """Subtrees of more than CAP customers become several."""
-        size = np.bincount(tree, minlength=len(self.lasts))
+    def _divide(self, grams: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Entries of more than CAP customers come in parts, as equal as can be."""
+        at = np.flatnonzero(many[self.gram] > 1)
+        at = at[np.argsort(self.gram[at], kind="stable")]
+        of = self.gram[at]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        self.gram = (np.cumsum(many) - many).astype(np.int32)[self.gram]
+        self.gram[at] += (rank * many[of] // self.n[of]).astype(np.int32)
+        self.n, self.same = np.bincount(self.gram, minlength=int(many.sum())), np.repeat(np.arange(len(many)), many)
+        return np.repeat(grams, many)
+
+    def _divide2(self, twos: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """So do dishes of restaurants of one word; an entry stays in one part."""
         parts = -(-size // CAP)
-        sub = np.zeros(len(tree), np.int64)
-        at = np.flatnonzero(parts[tree] > 1)
-        if len(at):
-            of = parts[tree[at]]
-            sub[at] = (mix(self.known[a[at]] ^ np.uint64(0x5B)) >> np.uint64(8)).astype(np.int64) % of
-            _, leaf, many = np.unique(tree[at].astype(np.int64) << 32 | a[at], return_inverse=True, return_counts=True)
-            large = np.flatnonzero(many[leaf] > CAP // 2)
-            order = large[np.argsort(leaf[large], kind="stable")]  # by occurrence within a context
-            first = np.flatnonzero(np.append(True, leaf[order][1:] != leaf[order][:-1])) if len(order) else np.zeros(0, np.int64)
-            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            sub[at[order]] = (sub[at[order]] + rank // (CAP // 2)) % of[order]
-        names, self.tree = np.unique(tree.astype(np.int64) << 24 | sub, return_inverse=True)
-        self.tree = self.tree.astype(np.int32)
-        self.tree_word = self.last_word[names >> 24]
+        order = np.argsort(self.two, kind="stable")
+        before = np.cumsum(self.n[order]) - self.n[order]
+        before -= (np.cumsum(size) - size)[self.two[order]]
+        part = np.empty(len(order), np.int64)
+        part[order] = before * parts[self.two[order]] // size[self.two[order]]
+        names, self.two = np.unique(self.two.astype(np.int64) << 32 | part, return_inverse=True)
+        self.same2 = names >> 32
+        return twos[self.same2]
 
     def words_of(self) -> np.ndarray:
         return self.known[self.dishes]
 
     def subtrees(self) -> Subtrees:
-        return Subtrees(self.n, self.leaf, self.two, self.dish, self.tree_of_leaf)
+        return Subtrees(self.n, self.leaf, self.two, self.dish, self.tree_of_leaf, self.same, self.same2, CAP)
 
     def ask(self, p: int, n: int, s: Subtrees) -> Iterator[tuple[int, bytes]]:
         """To the root: the customers of each word, in the order of :class:`_Dishes`."""
@@ -358,6 +403,25 @@ class _Held:
         for q in np.unique(to).tolist():
             yield q, _pack(("more", p, _narrow(s.local[to == q])))
 
+    def divided(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Subtrees that lie in other partitions too; their dishes, by the first ``two`` of each, of which of those subtrees they are, their keys, and the partition of the root that each goes by."""
+        trees = np.flatnonzero(self.hot.count(self.tree_word) > self.hot.piece)
+        there = np.full(len(self.tree_word), -1)
+        there[trees] = np.arange(len(trees))
+        first = np.flatnonzero(there[self.tree2] >= 0)
+        if self.same2 is not None:
+            first = first[np.append(True, np.diff(self.same2[first]) > 0)[: len(first)]]
+        key = _key(self.tree_word[self.tree2[first]], self.known[self.dishes[self.dish[first]]])
+        return trees, first, there[self.tree2[first]], key, _owner(key, n)
+
+    def share(self, p: int, n: int, s: Subtrees) -> Iterator[tuple[int, bytes]]:
+        """To the root: customers and tables of those dishes."""
+        trees, first, of, key, to = self.divided(n)
+        c, t = (x[first] if self.same2 is None else np.bincount(self.same2, x)[self.same2[first]].astype(np.int64) for x in (s.c2, s.t2))
+        for q in np.unique(to).tolist():
+            at = to == q
+            yield q, _pack(("share", p, self.tree_word[trees].tobytes(), _thin(of[at]), key[at].tobytes(), _thin(c[at]), _thin(t[at])))
+
     def rooted(self, n: int, total: float, d0: float) -> Subtrees:
         """Subtrees at their first seating, with the root's replies."""
         s, to = self.subtrees(), _owner(self.words_of(), n)
@@ -365,6 +429,18 @@ class _Held:
         for q, (x,) in self.replies.items():
             fixed[to == q] = x
         s.root(np.exp(-np.abs(fixed)), ~np.signbit(fixed), total, d0)
+        if self.others:
+            trees, first, _, key, to = self.divided(n)
+            far, totals = np.zeros((3, len(key)), np.int64), np.zeros((2, len(trees)), np.int64)
+            for q, (dishes, sums) in self.others.items():
+                far[:, to == q] = [_thick(x) for x in dishes]
+                totals += [_thick(x).astype(np.int64) for x in sums]
+            at = np.zeros(len(s.dish), np.int64) - 1
+            at[first] = np.arange(len(first))
+            if self.same2 is not None:  # each part of a dish is told the same
+                at = at[np.searchsorted(self.same2, self.same2)]
+            twos = np.flatnonzero(at >= 0)
+            s.join(trees, totals, twos, far[:, at[twos]])
         return s
 
     def scores(self, p: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
@@ -386,30 +462,33 @@ class _Held:
         c3, c2 = s.C3.astype(np.float64), s.C2.astype(np.float64)
         yield 13, _key(first[self.leaf], last[self.leaf], name(self.dish_word)), more3 * c3[self.leaf], c3[self.leaf] * 0
         yield 2, _key(first, last), share3 * c3, c3
-        by_place = np.empty(len(self.tree_word), np.uint64)
-        by_place[s.place] = self.tree_word
-        yield 12, _key(by_place[s.tree2], name(self.dishes[self.dish])), more2 * c2[s.tree2], c2[s.tree2] * 0
-        yield 1, _key(by_place), share2 * c2, c2
+        # a restaurant in several partitions: each adds its own customers and tables to those of all
+        own = s.own2.astype(np.float64)
+        yield 12, _key(self.tree_word[s.tree2], name(self.dishes[self.dish])), more2 * c2[s.tree2], c2[s.tree2] * 0
+        yield 1, _key(self.tree_word), share2 * own, own
 
 
 # -------- root
 
 
-def _counted(rows: Iterator[tuple[int, bytes]], share: float, total: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of words of a root partition, and those of more than a share of all occurrences, with their counts."""
+def _counted(rows: Iterator[tuple[int, bytes]], share: float, total: int, common: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of a root partition, those of more than a share of all occurrences, with their counts, and so many common ones."""
     base = [_unpack(raw)[1:] for _, raw in rows]
     h, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in base)]), return_inverse=True)
     n = np.bincount(of, np.concatenate([np.zeros(0), *(x[2] for x in base)]), minlength=len(h)).astype(np.int64)
     at = n > share * total
-    return len(h), h[at], n[at]
+    return len(h), h[at], n[at], h[np.argsort(-n, kind="stable")[:common]]
 
 
-def _root(rows: Iterator[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Words, probabilities of their spellings, customers, and who asked for which with how many of its own."""
+def _root(rows: Iterator[tuple[int, bytes]], shares: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Words, probabilities of their spellings, customers, and who asked for which with how many of its own. ``shares`` gets the other messages."""
     base, asks, later = [], [], {}
     for _, raw in rows:
         x = _unpack(raw)
-        if x[0] == "more":
+        if x[0] == "share":
+            if shares is not None:
+                shares.append(x[1:])
+        elif x[0] == "more":
             later[x[1]] = x[2]
         else:
             (base if x[0] == "base" else asks).append(x[1:])
@@ -423,26 +502,55 @@ def _root(rows: Iterator[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np
     return h, p, c, asks
 
 
+def _others(q: int, shares: list) -> Iterator[tuple[int, bytes]]:
+    """To each partition that has a part of a restaurant: customers and tables that the others have of each of its dishes, and of all.
+
+    Before they heard of one another each part opened a table for each of its dishes;
+    of those only that of the first part stays.
+    """
+    shares = sorted(shares, key=lambda x: x[0])
+    if not shares:
+        return
+    keys, trees = (np.concatenate(x) for x in zip(*((np.frombuffer(x[3], np.uint64), np.frombuffer(x[1], np.uint64)[_thick(x[2])]) for x in shares), strict=True))
+    c, t = (np.concatenate([_thick(x[k]) for x in shares]).astype(np.int64) for k in (4, 5))
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    mine = np.zeros(len(keys), np.int64)
+    mine[first] = 1
+    t += mine - 1
+    names, tree = np.unique(trees, return_inverse=True)
+    by_dish, by_tree = (np.stack([np.bincount(x, y).astype(np.int64) for y in (c, t)]) for x in (at, tree))
+    i = 0
+    for who, words, of, key, _, _ in shares:
+        words, j = np.frombuffer(words, np.uint64), i + len(key) // 8
+        own = np.stack([np.bincount(_thick(of), x[i:j], minlength=len(words)).astype(np.int64) for x in (c, t)])
+        to = np.minimum(np.searchsorted(names, words), len(names) - 1)
+        total = np.where(names[to] == words, by_tree[:, to], 0) - own
+        far = by_dish[:, at[i:j]] - [c[i:j], t[i:j]]
+        yield who, _pack(("others", q, [_thin(x) for x in (*far, mine[i:j])], [_thin(x) for x in total]))
+        i = j
+
+
 class _Fit:
     """Occurrences by partition, with the root's replies, discounts and strengths."""
 
     def __init__(self, docs: DataFrame, part_words: int = PART_WORDS):
         rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-        texts = rows.select("text").filter("text is not null").rdd
-        total = texts.mapPartitions(_bytes_of).fold(np.zeros(257, np.int64), lambda x, y: x + y)
+        texts = rows.select("text").filter("text is not null")
+        total = sum((np.array(x["n"]) for x in texts.mapInArrow(_bytes_of, "n array<long>").toLocalIterator()), np.zeros(257, np.int64))
         self.logs = byte_logs(total)
         many = int(total[:256][SPACE].sum() + total[256])  # words, or few less
         self.n = n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // part_words))
-        self.words = texts.mapPartitions(_base(self.logs, n)).partitionBy(n, _same)
-        found = self.words.mapPartitions(lambda part: [_counted(part, 1 / (HOT * n), many)]).collect()  # fewer than HOT n words in all
+        self.words = texts.rdd.mapPartitions(_base(self.logs, n)).partitionBy(n, _same)
+        found = self.words.mapPartitions(lambda part: [_counted(part, 1 / (HOT * n), many, COMMON // n)]).collect()  # fewer than HOT n + COMMON words in all
         self.kinds = max(1, sum(x[0] for x in found))
         hashes, counts = (np.concatenate([x[k] for x in found]) for k in (1, 2))
         ends = counts[hashes == END].sum()
-        hot = _Hot(np.append(hashes, BEGIN), np.append(counts, ends), many)
+        hot = docs.sparkSession.sparkContext.broadcast((_Hot(np.append(hashes, BEGIN), np.append(counts, ends), many, max(CAP, part_words // HOT)), np.sort(np.concatenate([x[3] for x in found]))))
+        self.hot = hot
         self.rows = rows.rdd.mapPartitionsWithIndex(_occurrences(n, hot)).partitionBy(n, _same)
 
         def first(p: int, part: Iterator) -> Iterator:
-            yield from _Dishes(part).ask(p, n)
+            yield from _Dishes(part, hot.value[1]).ask(p, n)
 
         self.asks, _ = self._told(self.rows.mapPartitionsWithIndex(first))
         self.hyper = Hyper((0.5, 0.7, 0.8), (1.0, 1.0, 1.0))  # drawn below
@@ -450,18 +558,19 @@ class _Fit:
         hyper, total = self.hyper, self.total
 
         def again(p: int, part: Iterator) -> Iterator:
-            held = _Held(part)
+            held = _Held(part, hot)
             s = held.rooted(n, total, hyper.d[0])
             if len(s.n):
                 rng = np.random.default_rng([p, 1])
                 for _ in range(BURN_IN):
-                    s.sweep(hyper, rng)
+                    s.sweep(hyper, rng, False)
                 yield -1, _pack(s.counts())
                 yield from held.ask(p, n, s)
+                yield from held.share(p, n, s)
             _lean()
 
         asks, got = self._told(self.rows.union(self.replies).mapPartitionsWithIndex(again))
-        # numbers of restaurants by customers and tables, both at most some CAP: small, however large the corpus
+        # numbers of dishes by customers and tables, at most CAP, and of restaurants by either, at most a partition's worth: small, however large the corpus
         seats = [reduce(seating.add_counts, x, np.zeros((0, 3), np.int64)) for x in zip(*map(_unpack, got), strict=True)] or [np.zeros((0, 3), np.int64)] * 4
         rng = np.random.default_rng(11)
         drawn = [seating.draw_hyper(seats[2 * k], seats[2 * k + 1], self.hyper.s[k + 1], rng) for k in range(2)]
@@ -490,11 +599,13 @@ class _Fit:
         self.backoff = backoff = (s + d * tables) / total
 
         def seated(q: int, part: Iterator):
-            h, p, c, asks = _root(part)
-            return h, p, c, asks, seating.seat(c, p, np.full(len(c), float(tables - 1)), d, s, np.random.default_rng([q, 77]))
+            shares = []
+            h, p, c, asks = _root(part, shares)
+            return shares, h, p, c, asks, seating.seat(c, p, np.full(len(c), float(tables - 1)), d, s, np.random.default_rng([q, 77]))
 
         def answers(q: int, part: Iterator) -> Iterator:
-            _, p, c, asks, t = seated(q, part)
+            shares, _, p, c, asks, t = seated(q, part)
+            yield from _others(q, shares)
             for who, at, own in asks:
                 left = c[at] - own
                 x = np.maximum(left - d * np.minimum(t[at], left), 0) / total + backoff * p[at]
@@ -502,7 +613,7 @@ class _Fit:
                 yield who, _pack(("root", q, np.where(left > 0, -x, x).astype(np.float32)))
 
         def model(q: int, part: Iterator) -> Iterator:
-            h, p, c, _, t = seated(q, part)
+            _, h, p, c, _, t = seated(q, part)
             have = c > 0
             yield 11, _key(h[have]), (np.maximum(c - d * t, 0) / total + backoff * p)[have], np.zeros(int(have.sum()))
 
@@ -511,17 +622,17 @@ class _Fit:
 
     def final(self, use: Callable) -> RDD:
         """use(partition, what it holds, its subtrees, means over the samples of Subtrees.sweep and all but the first of Subtrees.predict) of each partition."""
-        n, hyper, total = self.n, self.hyper, self.total
+        n, hyper, total, hot = self.n, self.hyper, self.total, self.hot
 
         def run(p: int, part: Iterator) -> Iterator:
-            held = _Held(part)
+            held = _Held(part, hot)
             s = held.rooted(n, total, hyper.d[0])
             if not len(s.n):
                 yield from use(p, held, s, None)
                 return
             rng, mean = np.random.default_rng([p, 2]), None
             for k in range(BURN_IN + SAMPLES):
-                away = s.sweep(hyper, rng)
+                away = s.sweep(hyper, rng, k >= BURN_IN)
                 if k >= BURN_IN:
                     now = [away, *s.predict(hyper)[1:]]
                     mean = [x / SAMPLES for x in now] if mean is None else [x + y / SAMPLES for x, y in zip(mean, now, strict=True)]

@@ -182,3 +182,49 @@ def test_hot_contexts_are_divided_and_every_sign_is_its_own(spark, monkeypatch):
     signs = ["\U0001f600", "\U0001f601", "\x02", "\x01", "x"]
     assert len({float(x).hex() for x in lm.spelled_log(pa.array(signs), (-0.01 * np.arange(1.0, 257.0) ** 1.1).tolist())}) == len(signs)
     assert len(set(words(pa.array(signs), EXACT).hash.tolist())) == len(signs)
+
+
+@pytest.mark.parametrize("part_words", [1_000_000, 400])
+def test_large_restaurants_are_scored_by_all_their_customers(spark, monkeypatch, part_words):
+    """Whether dishes come in parts of ten customers, and restaurants in parts that lie in several partitions, or neither: about the same probabilities."""
+    rng = random.Random(5)
+    often = lambda: min(int(rng.expovariate(0.12)), 60)
+    texts = [" ".join(x for _ in range(20) for k in [rng.randrange(4)] for x in (f"a{rng.randrange(300)}", f"b{k}", f"n{(17 * k + often()) % 60}")) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: r["log_prob"] for r in lm.perplexities(docs).collect()}
+    monkeypatch.setattr(lm, "CAP", 10)
+    got = {r["doc_id"]: r["log_prob"] for r in lm.perplexities(docs, part_words).collect()}
+    assert got.keys() == want.keys()
+    off = [got[i] / want[i] - 1 for i in want]
+    assert abs(np.mean(off)) < 0.02 and max(map(abs, off)) < 0.08, (np.mean(off), min(off), max(off))
+
+
+def test_parts_of_a_dish_and_parallel_chains_are_as_one_restaurant():
+    """One word's restaurant: in chains of two customers, with dishes and entries in parts, it has the probabilities of explicit tables."""
+    base, d, s = [0.4, 0.3, 0.2, 0.1], (0.0, 0.5, 0.7), (0.0, 0.8, 1.5)
+    counts = {(0, 0): 8, (0, 1): 2, (1, 0): 4, (1, 2): 3, (2, 3): 1, (2, 0): 6}
+    keys = sorted(counts)
+    whole = [i for i, k in enumerate(keys) for _ in range(2 if counts[k] >= 4 else 1)]
+    n = np.array([counts[keys[i]] // whole.count(i) for i in whole])
+    leaf, dish = (np.array([keys[i][j] for i in whole]) for j in (0, 1))
+    part = np.where(dish == 0, leaf, 0)  # the first dish comes in three parts
+    twos, two = np.unique(dish * 9 + part, return_inverse=True)
+    x = seating.Subtrees(n, leaf, two, twos // 9, np.zeros(3, np.int64), np.array(whole), np.unique(twos // 9, return_inverse=True)[1], 2)
+    x.root(np.array(base), np.zeros(4), 1e12, 0.0)
+    h, rng, m = seating.Hyper(d, s), np.random.default_rng(3), 6000
+    away = sum(x.sweep(h, rng) for _ in range(m)) / m
+    plain, over = random.Random(4), Franchise(base.__getitem__, d[1], s[1])
+    under = [Franchise(over, d[2], s[2]) for _ in range(3)]
+    for a, w in keys:
+        for _ in range(counts[a, w]):
+            under[a].add(w, plain)
+    want = np.zeros(len(keys))
+    for _ in range(m):
+        for i, (a, w) in enumerate(keys):
+            for _ in range(counts[a, w]):
+                under[a].remove(w, plain)
+                want[i] += under[a].p(w) / counts[a, w] / m
+                under[a].add(w, plain)
+    assert np.allclose(away, want[whole], atol=0.02), (away, want[whole])
+    x.t2[:2] = 0
+    assert (x.counts()[0][:, 1] > 0).all()
