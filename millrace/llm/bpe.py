@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import lists, mix, pieces, powers, text_of
+from millrace.llm.common import lean, lists, mix, pieces, powers, text_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers, of some 30 bytes each; beyond it forgets all and begins anew. No result depends on it.
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     rows give equal rows; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_of().alias("text"))
-    return rows.mapInArrow(_encoder(path), "doc_id long, source string, token_ids array<int>, n_tokens int, round_trips boolean")
+    return rows.mapInArrow(lean(_encoder(path)), "doc_id long, source string, token_ids array<int>, n_tokens int, round_trips boolean")
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -9,11 +9,13 @@ costs a few vector operations and no Python loop.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from typing import NamedTuple
 
 import numpy as np
@@ -76,6 +78,30 @@ def files(uri: str):
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
+# -------- memory
+
+
+def _trim() -> None:
+    with suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, in a worker that gives freed arrays back to the system: workers wait for later stages, and what they keep counts with what those take."""
+
+    def kept(batches: Iterator) -> Iterator:
+        _trim()
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return kept
+
+
 # -------- row keys
 
 

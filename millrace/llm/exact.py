@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import TMP, U1, U2, keep_rows, key_columns, text_of, written
+from millrace.llm.common import TMP, U1, U2, keep_rows, key_columns, lean, text_of, written
 
 BLOCK_BYTES = 4096
 _KEYS = f"doc_id long, {U1} long, {U2} long, m long, i long, n long"
@@ -70,7 +70,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
     blocks = blocks.select("doc_id", U1, U2, "m", F.col("i").cast("long"), "n", "block").repartition("block").sortWithinPartitions("block")
     level, done = 0, []
-    now = written(blocks.mapInArrow(_ranker(["block"], carried), f"{_KEYS}, name long"), "names")
+    now = written(blocks.mapInArrow(lean(_ranker(["block"], carried)), f"{_KEYS}, name long"), "names")
     while True:
         done.append(now.filter("n = 1").select("doc_id", U1, U2, "m", F.lit(level).alias("level"), "name"))
         rest = now.filter("n > 1")
@@ -83,7 +83,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             F.max(left).alias("a"), F.coalesce(F.max(right), F.lit(-1)).alias("b"), F.sum(F.when(F.col("i") % 2 == 0, F.col("m"))).alias("m")
         )
         pairs = pairs.select("doc_id", U1, U2, "m", "i", "n", "a", "b").repartition("a", "b").sortWithinPartitions("a", "b")
-        now = written(pairs.mapInArrow(_ranker(["a", "b"], carried), f"{_KEYS}, name long"), "names")
+        now = written(pairs.mapInArrow(lean(_ranker(["a", "b"], carried)), f"{_KEYS}, name long"), "names")
         level += 1
     every = done[0]
     for x in done[1:]:

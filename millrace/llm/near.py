@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import TMP, U1, U2, Words, key_columns, lists, mix, named_back, ngrams, one_each, pieces, renamed, row_order, text_of, words, written
+from millrace.llm.common import TMP, U1, U2, Words, key_columns, lean, lists, mix, named_back, ngrams, one_each, pieces, renamed, row_order, text_of, words, written
 from millrace.llm.components import components
 
 K = 64
@@ -135,7 +135,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     """(doc_id, key, n, f1, f2, sketch, id) of each row with words; id is a number of its own, given once when the table is written."""
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), *key_columns(), text_of().alias("text"))
-    made = rows.mapInArrow(_sketcher(k, n), f"doc_id long, {U1} long, {U2} long, n long, f1 long, f2 long, sketch array<long>").filter("n > 0")
+    made = rows.mapInArrow(lean(_sketcher(k, n)), f"doc_id long, {U1} long, {U2} long, n long, f1 long, f2 long, sketch array<long>").filter("n > 0")
     return written(made.withColumn("id", F.monotonically_increasing_id()), "sketches")
 
 
@@ -178,10 +178,10 @@ def verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, threshold: floa
     held = _filter_of(ends)
     if held is None:
         texts = texts.join(ends.select(U1, U2), [U1, U2], "left_semi")
-    sets = texts.mapInArrow(_setter(n, held), f"{U1} long, {U2} long, s array<long>").join(ends, [U1, U2]).select("id", "s")
+    sets = texts.mapInArrow(lean(_setter(n, held)), f"{U1} long, {U2} long, s array<long>").join(ends, [U1, U2]).select("id", "s")
     sets = one_each(written(sets, "whole-sets"), "id")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_jaccard, "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(_jaccard), "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, n: int = SHINGLE, slack: float = SLACK) -> DataFrame:

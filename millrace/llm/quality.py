@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SIGNS, TMP, Words, pieces, text_of, words, written
+from millrace.llm.common import SIGNS, TMP, Words, lean, pieces, text_of, words, written
 
 BITS = 17  # hashed words
 RANK = 6
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, epochs:
     equal rows are one. With no labels left, the model keeps everything.
     """
     rows = _training_rows(docs, labels, max_rows, max_bytes)
-    made = rows.select("text", "source", "lang", "good", "toxic", "h1", "h2").mapInArrow(_featurise, "f binary, x binary, good int, toxic int, h1 long, h2 long")
+    made = rows.select("text", "source", "lang", "good", "toxic", "h1", "h2").mapInArrow(lean(_featurise), "f binary, x binary, good int, toxic int, h1 long, h2 long")
     made = made.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("f", "x", "good", "toxic")))
     table = made.toArrow().sort_by([("h1", "ascending"), ("h2", "ascending")])  # bounded by max_rows and max_bytes; one order whatever the partitions
     n = table.num_rows
@@ -245,7 +245,7 @@ def _scorer(model, at: tuple[int, int, int]):
 def _scored(rows: DataFrame, model: Model, at: tuple[int, int, int]) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(tuple(model))  # of fixed size: SIZE x (1 + RANK) x 2 floats
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(_scorer(held, at), f"{kinds}, p_quality double, p_toxic double")
+    return rows.mapInArrow(lean(_scorer(held, at)), f"{kinds}, p_quality double, p_toxic double")
 
 
 def _good():

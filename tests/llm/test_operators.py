@@ -349,3 +349,21 @@ def test_words_of_scripts_without_spaces():
     k = words(pa.array(texts))
     got = [[k.data[a:b].tobytes().decode() for a, b, d in zip(k.start, k.end, k.doc, strict=True) if d == i] for i in range(5)]
     assert got == [["漢", "字", "か", "な", "test"], ["a", "b", "c"], ["ไ", "ท", "ย"], ["plain", "words"], ["é", "à"]]
+
+
+def test_workers_give_freed_memory_back():
+    """Blocks below the size that the system maps apart, freed but for the last: they go back when the work is done, and rows pass as they are."""
+    from millrace.llm.common import lean
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20  # noqa: E731, SIM115
+    kept, sizes = [], []
+
+    def run(rows):
+        blocks = [bytearray(b"x" * 100_000) for _ in range(3000)]
+        kept.append(blocks[-1])
+        sizes.append(held())
+        del blocks
+        yield from rows
+
+    assert list(lean(run)(iter(range(5)))) == list(range(5))
+    assert held() < sizes[0] - 200
