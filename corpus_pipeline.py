@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each over all that the one before kept.
 
 Each stage's result is written to the shared folder and read again, so a lost
-executor costs the stage that it was in and no more.
+executor costs the stage that it was in and no more. Once it is written, what the
+stage read and wrote on the way goes.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, exact, mixing, near, quality
-from millrace.llm.common import written
+from millrace.llm.common import settled
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return _after(len(STAGES), spark, sf_dir)
+
+
+def _after(k: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first ``k`` stages keep."""
+    if not k:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = settled(lambda: _after(k - 1, spark, sf_dir), STAGES[k - 2][0].replace(" ", "-")) if k > 1 else _after(0, spark, sf_dir)
+    return STAGES[k - 1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -69,10 +70,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again. A lost executor costs no recomputation."""
     spark, schema = df.sparkSession, df.schema
     path = passing_path(spark, label)
+    if (held := _held.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Paths of the tables written so far within the innermost :func:`settled`.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``make()``, written. The tables that were written for it on the way go then: the result is read from files of its own.
+
+    ``make`` must not hand out a table it writes by other ways than its result.
+    """
+    inner: list[str] = []
+    outer, token = _held.get(), _held.set(inner)
+    kept: list[str] = []
+    try:
+        out = written(make(), label)
+        kept.append(inner.pop())
+    finally:
+        _held.reset(token)
+        sc = SparkSession.active().sparkContext
+        for path in inner:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    if outer is not None:
+        outer += kept
+    return out
+
+
 def files(uri: str):
     """(file system, path) for what workers read and write themselves; s3a and s3n name the same store as s3."""
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))

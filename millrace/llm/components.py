@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import settled, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. A star's edges stay apart rows, so that a hub of
     any degree is a skewed join and no large row. A node without an edge isn't listed.
     """
+    return settled(lambda: _rounds(edges), "components")
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
     now = edges.select("a", "b").filter("a <> b")
     now = written(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -34,4 +38,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = total
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return written(roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")
+    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import TMP, U1, U2, keep_rows, key_columns, lean, text_of, written
+from millrace.llm.common import TMP, U1, U2, keep_rows, key_columns, lean, settled, text_of, written
 
 BLOCK_BYTES = 4096
 _KEYS = f"doc_id long, {U1} long, {U2} long, m long, i long, n long"
@@ -114,9 +114,11 @@ def drop_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Of rows that agree in doc_id and text one stays, with all its columns, whatever
     their names. Empty texts are one text. An empty table stays empty.
     """
-    first = Window.partitionBy("level", "name").orderBy(F.col("doc_id").asc_nulls_last(), U1, U2)
-    named = identities(docs, block_bytes).withColumn(TMP + "k", F.row_number().over(first)).filter(F.col(TMP + "k") == 1)
-    kept = named.select(U1, U2, F.lit(1).cast("long").alias(TMP + "n1"), F.col("m").alias(TMP + "m"))
-    nulls = docs.filter(F.col("text").isNull()).select(*key_columns()).groupBy(U1, U2).agg(F.count(F.lit(1)).alias(TMP + "m"))
-    chosen = written(kept.unionByName(nulls.select(U1, U2, F.col(TMP + "m").alias(TMP + "n1"), TMP + "m")), "kept")
-    return keep_rows(docs, chosen, TMP + "n1")
+
+    def kept() -> DataFrame:
+        first = Window.partitionBy("level", "name").orderBy(F.col("doc_id").asc_nulls_last(), U1, U2)
+        named = identities(docs, block_bytes).withColumn(TMP + "k", F.row_number().over(first)).filter(F.col(TMP + "k") == 1)
+        nulls = docs.filter(F.col("text").isNull()).select(*key_columns()).groupBy(U1, U2).agg(F.count(F.lit(1)).alias(TMP + "m"))
+        return named.select(U1, U2, F.lit(1).cast("long").alias(TMP + "n1"), F.col("m").alias(TMP + "m")).unionByName(nulls.select(U1, U2, F.col(TMP + "m").alias(TMP + "n1"), TMP + "m"))
+
+    return keep_rows(docs, settled(kept, "kept"), TMP + "n1")

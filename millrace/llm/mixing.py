@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import TMP, U1, U2, keep_rows, key_columns, text_of, written
+from millrace.llm.common import TMP, U1, U2, keep_rows, key_columns, settled, text_of, written
 
 #: Target weights for production: the hot source is held at its own share, curated ones get more.
 WEIGHTS: dict[str, float] = {"src0": 2.0, "src1": 3.0, "src2": 3.0, "src3": 1.5, "src4": 0.5}
@@ -81,7 +81,7 @@ def mix(
     table gives an empty result. Texts are counted whole, however long; extra
     columns are ignored, whatever their names.
     """
-    queued = written(_queued(docs, WEIGHTS if weights is None else weights, default_weight, seed), "queued")
+    queued = settled(lambda: _queued(docs, WEIGHTS if weights is None else weights, default_weight, seed), "queued")
     cuts = F.percentile_approx("vft", [i / _TIMES for i in range(1, _TIMES)], 20 * _TIMES)
     span = queued.agg(cuts.alias("cuts"), (F.sum("n_tokens") * budget_permille).alias("all")).first()  # _TIMES numbers
     budget = budget_tokens if budget_tokens is not None else (span["all"] or 0) // 1000
@@ -119,6 +119,6 @@ def shares(docs: DataFrame, weights: Mapping[str, float] | None = None, default_
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The chosen rows of ``docs`` with all their columns, as :func:`mix` chooses them, sorted by virtual finish time."""
-    chosen = mix(docs, **how).groupBy(U1, U2).agg(F.count(F.lit(1)).alias(TMP + "n1"), F.min("vft").alias(TMP + "o"))
     have = docs.select(*key_columns()).groupBy(U1, U2).agg(F.count(F.lit(1)).alias(TMP + "m"))
-    return keep_rows(docs, written(chosen.join(have, [U1, U2]), "chosen"), TMP + "n1", TMP + "o")
+    chosen = settled(lambda: mix(docs, **how).groupBy(U1, U2).agg(F.count(F.lit(1)).alias(TMP + "n1"), F.min("vft").alias(TMP + "o")).join(have, [U1, U2]), "chosen")
+    return keep_rows(docs, chosen, TMP + "n1", TMP + "o")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import TMP, U1, U2, Words, key_columns, lean, lists, mix, named_back, ngrams, one_each, pieces, renamed, row_order, text_of, words, written
+from millrace.llm.common import TMP, U1, U2, Words, key_columns, lean, lists, mix, named_back, ngrams, one_each, pieces, renamed, row_order, settled, text_of, words, written
 from millrace.llm.components import components
 
 K = 64
@@ -196,22 +196,26 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, n: int = S
     hubs = listed.groupBy("v").agg(F.max(F.struct("spread", "u", "n")).alias("h"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     stars = listed.join(hubs, "v").filter(F.col("u") != F.col("h.u")).filter(_alike("n", "h.n", threshold))
     stars = written(stars.select(F.least("u", "h.u").alias("a"), F.greatest("u", "h.u").alias("b")).distinct(), "stars")
-    near = written(verified(written(estimated(stars, sets, k, floor), "likely"), docs, every, threshold, n).select("a", "b"), "near")
+    near = settled(lambda: verified(written(estimated(stars, sets, k, floor), "likely"), docs, every, threshold, n).select("a", "b"), "near")
     found = components(near)
     # what is left: in each list, pairs of different components. All but the largest component of a list are compared with all of it.
+    rest = settled(lambda: _left(listed, found, threshold).join(stars, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = settled(lambda: verified(written(estimated(rest, sets, k, floor), "passed"), docs, every, threshold, n).select("a", "b"), "more")
+        found = components(near.unionByName(more))
+    roots = sets.join(found.withColumnRenamed("node", "u"), "u", "left").select(*same, F.coalesce("root", "u").alias("root"))
+    return every.select("doc_id", U1, U2, *same).join(roots, same).select("doc_id", U1, U2, "root")
+
+
+def _left(listed: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one list but of different components."""
     placed = written(listed.join(found.withColumnRenamed("node", "u"), "u", "left").select("v", "u", "n", F.coalesce("root", "u").alias("c")), "placed")
     parts = placed.groupBy("v", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
     marked = written(placed.join(parts.filter("parts > 1"), "v").select("v", "u", "n", "c", (F.col("c") == F.col("top")).alias("main")), "open")
     few = marked.filter("not main").select("v", F.col("u").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
     all_ = marked.select("v", F.col("u").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
     rest = few.join(all_, "v").filter("cx <> cy and (main or x < y)").filter(_alike("nx", "ny", threshold))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = verified(written(estimated(rest, sets, k, floor), "passed"), docs, every, threshold, n).select("a", "b")
-        found = components(written(near.unionByName(more), "near"))
-    roots = sets.join(found.withColumnRenamed("node", "u"), "u", "left").select(*same, F.coalesce("root", "u").alias("root"))
-    return every.select("doc_id", U1, U2, *same).join(roots, same).select("doc_id", U1, U2, "root")
+    return rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -224,7 +228,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     agree in doc_id and text are one row. Extra columns are ignored, whatever their
     names; an empty table gives an empty result.
     """
-    found = written(groups(docs, **how).distinct(), "groups")
+    found = settled(lambda: groups(docs, **how).distinct(), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", U1, U2)).alias("l")
     by = found.groupBy("root").agg(least, F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     out = found.join(by, "root")
@@ -237,8 +241,7 @@ def drop_near(docs: DataFrame, **how) -> DataFrame:
     The row that stays has the least doc_id, null being greater than all. An empty
     table stays empty; columns keep their names, whatever they are.
     """
-    found = groups(docs, **how).groupBy(U1, U2).agg(F.min("root").alias("root"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias(TMP + "m"))
-    found = written(found, "groups")
+    found = settled(lambda: groups(docs, **how).groupBy(U1, U2).agg(F.min("root").alias("root"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias(TMP + "m")), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", U1, U2)).alias("l")
     by = found.groupBy("root").agg(least, F.count(F.lit(1)).alias("size")).filter("size > 1")
     dropped = found.join(by, "root").filter(F.struct(U1, U2) != F.struct(f"l.{U1}", f"l.{U2}")).select(U1, U2)

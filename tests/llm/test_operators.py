@@ -367,3 +367,39 @@ def test_workers_give_freed_memory_back():
 
     assert list(lean(run)(iter(range(5)))) == list(range(5))
     assert held() < sizes[0] - 200
+
+
+def test_tables_written_on_the_way_go(spark, docs, rows):
+    """Stages leave only what their result is read from, and the result can be read after that, more than once."""
+    from pathlib import Path
+
+    from millrace.llm.common import passing_path, settled, written
+
+    folder = Path(passing_path(spark, "x").removeprefix("file:")).parent
+
+    def left(make):
+        before = set(folder.iterdir())
+        out = make()
+        have = out.count()
+        assert have == out.count() > 0
+        return {x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before}
+
+    assert left(lambda: near.drop_near(docs)) == {"groups", "again", "dropped"}
+    assert left(lambda: exact.drop_exact(docs)) == {"kept"}
+    assert left(lambda: mixing.mixed_rows(docs)) == {"chosen"}
+    assert left(lambda: near.near_duplicates(docs)) == {"groups"}
+
+    def inner():
+        a = settled(lambda: written(spark.range(5).toDF("v"), "one"), "two")
+        return written(a, "three").filter("v > 1")
+
+    assert left(lambda: settled(inner, "four")) == {"four"}
+
+    def fails():
+        written(spark.range(5).toDF("v"), "five")
+        raise ValueError("x")
+
+    before = set(folder.iterdir())
+    with pytest.raises(ValueError):
+        settled(fails, "six")
+    assert set(folder.iterdir()) == before
