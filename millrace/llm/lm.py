@@ -161,7 +161,7 @@ def _base(logs: list[float], n: int):
         def send(h: np.ndarray, p: np.ndarray, m: np.ndarray) -> Iterator[tuple[int, bytes]]:
             to = _owner(h, n)
             for q in np.unique(to).tolist():
-                yield q, _pack(("base", h[to == q], p[to == q], _narrow(m[to == q])))
+                yield q, _pack(("base", _steps(h[to == q]), _floats_sent(p[to == q]), _narrow(m[to == q])))
 
         for part in _slices(rows, 2 << 20):
             k = words(pa.array([r[0] for r in part], pa.string()), EXACT)
@@ -185,7 +185,7 @@ def _base(logs: list[float], n: int):
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32)
+    return x.astype(np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32 if x.max() < 1 << 32 else np.uint64)
 
 
 def _thin(x: np.ndarray) -> tuple[str, bytes]:
@@ -199,14 +199,52 @@ def _thick(x: tuple[str, bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x[1], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def _sent(source: int, common: np.ndarray, a: np.ndarray, c: np.ndarray, doc: np.ndarray, lasts: np.ndarray, many: np.ndarray) -> bytes:
-    """A message of occurrences: ``many`` of each of ``lasts``, documents ascending in each."""
-    known, x = np.unique(np.concatenate([a, c]), return_inverse=True)
+def _steps(h: np.ndarray) -> tuple[str, bytes]:
+    """Ascending hashes."""
+    return _thin(np.diff(h, prepend=np.uint64(0)))
+
+
+def _hashes(x: tuple[str, bytes]) -> np.ndarray:
+    return np.cumsum(_thick(x), dtype=np.uint64)
+
+
+def _floats_sent(x: np.ndarray) -> tuple[str, bytes]:
+    return _thin(x.astype(np.float32).view(np.uint32))
+
+
+def _floats(x: tuple[str, bytes]) -> np.ndarray:
+    return _thick(x).astype(np.uint32).view(np.float32)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """As numpy's unique, by sorting, which for hashes is several times as fast."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def _numbers(common: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ascending words ``known`` are among ``common``, and the numbers that those have there."""
     at = np.minimum(np.searchsorted(common, known), len(common) - 1) if len(common) else np.zeros(len(known), np.int64)
     often = common[at] == known if len(common) else np.zeros(len(known), bool)
-    place = np.where(often, np.cumsum(often), often.sum() + np.cumsum(~often)) - 1
-    x, number = place[x.ravel()], at[often]
-    return _pack(("words", source, known[~often].tobytes(), _thin(np.diff(number, prepend=0)), _thin(x[: len(a)]), _thin(x[len(a) :]), doc.dtype.char, _thin(np.diff(doc, prepend=doc.dtype.type(0))), lasts.tobytes(), _thin(many)))
+    return often, at[often]
+
+
+def _named(common: np.ndarray, known: np.ndarray) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
+    """Ascending words: steps between the hashes of the rare ones, and between the numbers of the others."""
+    often, number = _numbers(common, known)
+    return _steps(known[~often]), _thin(np.diff(number, prepend=0))
+
+
+def _words_named(common: np.ndarray, rare: tuple[str, bytes], number: tuple[str, bytes]) -> np.ndarray:
+    """The ascending words of :func:`_named`."""
+    return np.sort(np.concatenate([common[np.cumsum(_thick(number), dtype=np.int64)], _hashes(rare)]))
+
+
+def _sent(source: int, common: np.ndarray, a: np.ndarray, c: np.ndarray, doc: np.ndarray, lasts: np.ndarray, many: np.ndarray) -> bytes:
+    """A message of occurrences: ``many`` of each of ``lasts``, documents ascending in each."""
+    known, x = np.unique(np.concatenate([a, c, lasts]), return_inverse=True)
+    x, m = x.ravel(), len(a)
+    return _pack(("words", source, *_named(common, known), _thin(x[:m]), _thin(x[m : 2 * m]), doc.dtype.char, _thin(np.diff(doc, prepend=doc.dtype.type(0))), _thin(x[2 * m :]), _thin(many)))
 
 
 class _Words:
@@ -214,10 +252,10 @@ class _Words:
 
     def __init__(self, x: tuple, common: np.ndarray):
         _, self.source, rare, number, a, c, kind, doc, lasts, many = x
-        self.known = np.concatenate([common[np.cumsum(_thick(number), dtype=np.int64)], np.frombuffer(rare, np.uint64)])
+        self.known = _words_named(common, rare, number)
         self.a, self.c, self.many = _thick(a), _thick(c), _thick(many)
         self.doc = np.cumsum(_thick(doc).astype(kind), dtype=kind)
-        self.lasts = np.frombuffer(lasts, np.uint64)
+        self.lasts = self.known[_thick(lasts)]
 
 
 class _Hot:
@@ -299,7 +337,7 @@ class _Dishes:
     """The words of a partition, and how often each occurs: its customers at the root before any is seated."""
 
     def __init__(self, rows: Iterator[tuple[int, bytes]], common: np.ndarray):
-        known, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        self.common, known, counts = common, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, raw in rows:
             x = _unpack(raw)
             if x[0] == "words":
@@ -313,7 +351,7 @@ class _Dishes:
     def ask(self, p: int, n: int) -> Iterator[tuple[int, bytes]]:
         to = _owner(self.words, n)
         for q in np.unique(to).tolist():
-            yield q, _pack(("ask", p, self.words[to == q], _narrow(self.counts[to == q])))
+            yield q, _pack(("ask", p, *_named(self.common, self.words[to == q]), _thin(self.counts[to == q])))
         _lean()
 
 
@@ -335,7 +373,7 @@ class _Held:
         blobs.sort(key=lambda x: x.source)
         self.sources = [(x.source, x.doc) for x in blobs]
         none = np.zeros(0, np.uint64)
-        self.known = known = np.unique(np.concatenate([none, *(x.known for x in blobs)]))
+        self.known = known = _distinct(np.concatenate([none, *(x.known for x in blobs)]))
         total = sum(len(x.a) for x in blobs)
         a, c, tree = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32)
         self.tree_word, place = np.unique(np.concatenate([none, *(x.lasts for x in blobs)]), return_inverse=True)
@@ -427,7 +465,7 @@ class _Held:
         s, to = self.subtrees(), _owner(self.words_of(), n)
         fixed = np.zeros(len(to))
         for q, (x,) in self.replies.items():
-            fixed[to == q] = x
+            fixed[to == q] = _floats(x)
         s.root(np.exp(-np.abs(fixed)), ~np.signbit(fixed), total, d0)
         if self.others:
             trees, first, _, key, to = self.divided(n)
@@ -444,7 +482,7 @@ class _Held:
         return s
 
     def scores(self, p: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-        """To the partition of each chunk's documents: the documents and sums of log probabilities."""
+        """To the partition of each chunk's documents: the documents and sums of log probabilities, each sum exact to some 6e-8 of its size."""
         for raw in self.docs:
             source = _unpack(raw)[1]
             yield source % n, raw
@@ -453,7 +491,7 @@ class _Held:
             total = np.bincount(doc, log[self.gram[at : at + len(doc)]])
             at += len(doc)
             have = np.flatnonzero(total)
-            yield source % n, _pack(("sums", source, have.astype(np.uint32), total[have]))
+            yield source % n, _pack(("sums", source, _thin(np.diff(have, prepend=0)), _floats_sent(total[have])))
 
     def model(self, s: Subtrees, more3: np.ndarray, share3: np.ndarray, more2: np.ndarray, share2: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(kind, keys, weighted values, weights): 10 + words of a gram and what it has beyond its parent's share, words of a context and that share."""
@@ -473,14 +511,14 @@ class _Held:
 
 def _counted(rows: Iterator[tuple[int, bytes]], share: float, total: int, common: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Number of words of a root partition, those of more than a share of all occurrences, with their counts, and so many common ones."""
-    base = [_unpack(raw)[1:] for _, raw in rows]
+    base = [(_hashes(x[1]), _floats(x[2]), x[3]) for x in (_unpack(raw) for _, raw in rows)]
     h, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in base)]), return_inverse=True)
     n = np.bincount(of, np.concatenate([np.zeros(0), *(x[2] for x in base)]), minlength=len(h)).astype(np.int64)
     at = n > share * total
     return len(h), h[at], n[at], h[np.argsort(-n, kind="stable")[:common]]
 
 
-def _root(rows: Iterator[tuple[int, bytes]], shares: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def _root(rows: Iterator[tuple[int, bytes]], common: np.ndarray, shares: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """Words, probabilities of their spellings, customers, and who asked for which with how many of its own. ``shares`` gets the other messages."""
     base, asks, later = [], [], {}
     for _, raw in rows:
@@ -490,8 +528,10 @@ def _root(rows: Iterator[tuple[int, bytes]], shares: list | None = None) -> tupl
                 shares.append(x[1:])
         elif x[0] == "more":
             later[x[1]] = x[2]
+        elif x[0] == "ask":
+            asks.append((x[1], _words_named(common, x[2], x[3]), _thick(x[4])))
         else:
-            (base if x[0] == "base" else asks).append(x[1:])
+            base.append((_hashes(x[1]), _floats(x[2])))
     h, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in base)]), return_index=True)
     p = np.exp(np.concatenate([np.zeros(0, np.float32), *(x[1] for x in base)])[first].astype(np.float64))
     asks.sort(key=lambda x: x[0])
@@ -584,10 +624,10 @@ class _Fit:
         return sent.filter(lambda x: x[1][:1] != b"!"), told
 
     def reply(self, asks: RDD) -> None:
-        both = self.words.union(asks)
+        both, hot = self.words.union(asks), self.hot
 
         def counted(part: Iterator) -> Iterator:
-            _, _, c, _ = _root(part)
+            _, _, c, _ = _root(part, hot.value[1])
             yield np.array([c.sum(), (c == 1).sum(), (c == 2).sum()])
 
         customers, once, twice = both.mapPartitions(counted).fold(np.zeros(3), lambda x, y: x + y)
@@ -600,7 +640,7 @@ class _Fit:
 
         def seated(q: int, part: Iterator):
             shares = []
-            h, p, c, asks = _root(part, shares)
+            h, p, c, asks = _root(part, hot.value[1], shares)
             return shares, h, p, c, asks, seating.seat(c, p, np.full(len(c), float(tables - 1)), d, s, np.random.default_rng([q, 77]))
 
         def answers(q: int, part: Iterator) -> Iterator:
@@ -610,7 +650,7 @@ class _Fit:
                 left = c[at] - own
                 x = np.maximum(left - d * np.minimum(t[at], left), 0) / total + backoff * p[at]
                 x = np.abs(np.log(x))  # positive for words that nobody else has
-                yield who, _pack(("root", q, np.where(left > 0, -x, x).astype(np.float32)))
+                yield who, _pack(("root", q, _floats_sent(np.where(left > 0, -x, x))))
 
         def model(q: int, part: Iterator) -> Iterator:
             _, h, p, c, _, t = seated(q, part)
@@ -620,8 +660,8 @@ class _Fit:
         self.replies = both.mapPartitionsWithIndex(answers).partitionBy(self.n, _same)
         self.root_model = both.mapPartitionsWithIndex(model)
 
-    def final(self, use: Callable) -> RDD:
-        """use(partition, what it holds, its subtrees, means over the samples of Subtrees.sweep and all but the first of Subtrees.predict) of each partition."""
+    def final(self, use: Callable, model: bool = False) -> RDD:
+        """use(partition, what it holds, its subtrees, means over the samples of Subtrees.sweep and, for a model, all but the first of Subtrees.predict) of each partition."""
         n, hyper, total, hot = self.n, self.hyper, self.total, self.hot
 
         def run(p: int, part: Iterator) -> Iterator:
@@ -634,7 +674,7 @@ class _Fit:
             for k in range(BURN_IN + SAMPLES):
                 away = s.sweep(hyper, rng, k >= BURN_IN)
                 if k >= BURN_IN:
-                    now = [away, *s.predict(hyper)[1:]]
+                    now = [away, *s.predict(hyper)[1:]] if model else [away]
                     mean = [x / SAMPLES for x in now] if mean is None else [x + y / SAMPLES for x, y in zip(mean, now, strict=True)]
             yield from use(p, held, s, mean)
             del held, s, mean
@@ -657,7 +697,7 @@ def _summed(part: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
     for source, (ids, sizes) in docs.items():
         total = np.zeros(len(ids))
         for at, x in sums.get(source, []):
-            total[at] += x
+            total[np.cumsum(_thick(at), dtype=np.int64)] += _floats(x)
         for i, m, x in zip(ids, sizes.tolist(), total.tolist(), strict=True):
             yield (i, m, x, float(np.exp(-x / m))) if m else (i, None, None, None)
 
@@ -691,7 +731,7 @@ def train(docs: DataFrame, part_words: int = PART_WORDS) -> str:
     """Count, sample and write the model; returns its place in the shared folder. The restaurants of one context are one there, weighted by their customers."""
     spark = docs.sparkSession
     fit, place = _Fit(docs, part_words), shared_path(spark, "lm")
-    parts = fit.final(lambda p, held, s, found: () if found is None else held.model(s, *found[1:])).union(fit.root_model).map(lambda x: (bytearray(pickle.dumps(x, 5)),))
+    parts = fit.final(lambda p, held, s, found: () if found is None else held.model(s, *found[1:]), True).union(fit.root_model).map(lambda x: (bytearray(pickle.dumps(x, 5)),))
     rows = spark.createDataFrame(parts, "x binary", verifySchema=False).mapInArrow(_rows, _MODEL)
     rows.groupBy("kind", "g").agg(F.sum("p").alias("p"), F.sum("w").alias("w")).write.parquet(place + "/model")
     spark.createDataFrame([(fit.logs, float(fit.backoff))], "logs array<double>, backoff double").coalesce(1).write.parquet(place + "/spelling")

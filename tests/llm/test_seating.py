@@ -228,3 +228,37 @@ def test_parts_of_a_dish_and_parallel_chains_are_as_one_restaurant():
     assert np.allclose(away, want[whole], atol=0.02), (away, want[whole])
     x.t2[:2] = 0
     assert (x.counts()[0][:, 1] > 0).all()
+
+
+def test_messages_are_small_and_give_back_what_they_took():
+    """Frequent words go by number wherever they stand, and sums of documents in half of a double."""
+    rng = np.random.default_rng(4)
+    common = np.sort(rng.integers(1 << 40, 1 << 63, 5000).astype(np.uint64))
+    rare = rng.integers(1 << 40, 1 << 63, 50).astype(np.uint64)
+    a, c = (np.append(rng.choice(common, 20_000), rng.choice(rare, 100)) for _ in range(2))
+    lasts = np.sort(np.append(common[:4000], rare))
+    many = np.append(np.full(len(lasts) - 1, 4), len(a) - 4 * (len(lasts) - 1))
+    doc = np.sort(rng.integers(0, 200, len(a))).astype(np.uint8)
+    raw = lm._sent(7, common, a, c, doc, lasts, many)
+    got = lm._Words(lm._unpack(raw), common)
+    assert got.source == 7 and (got.known[got.a] == a).all() and (got.known[got.c] == c).all() and (got.lasts == lasts).all()
+    assert (got.doc == doc).all() and (got.many == many).all() and len(raw) < 95_000  # 8 bytes for each of lasts: 24,000 more
+
+    dishes = lm._Dishes(iter([(0, raw)]), common)
+    asked = list(dishes.ask(3, 2))
+    assert sum(len(x) for _, x in asked) < 4 * len(dishes.words)
+    own = [dishes.words[lm._owner(dishes.words, 2) == q] for q in range(2)]
+    base = [(q, lm._pack(("base", lm._steps(own[q]), lm._floats_sent(np.zeros(len(own[q]))), np.zeros(0)))) for q in range(2)]
+    for q in range(2):
+        h, _, n, _ = lm._root(iter([base[q], *(x for x in asked if x[0] == q)]), common)
+        assert (n == dishes.counts[np.searchsorted(dishes.words, h)]).all()
+
+    m = 50_000
+    docs = lm._pack(("docs", 7, np.arange(m).astype(object), np.full(m, 3)))
+    held = lm._Held.__new__(lm._Held)
+    held.docs, held.sources, held.gram = [docs], [(7, np.arange(m, dtype=np.uint32))], np.arange(m)
+    p = rng.random(m)
+    sent = list(held.scores(p, 1))
+    assert len(sent[1][1]) < 5 * m
+    for i, _, x, _ in lm._summed(iter(sent)):
+        assert abs(x - np.log(p[i])) <= 1e-7 * abs(np.log(p[i]))
