@@ -21,8 +21,11 @@ partition are divided among several; so are the occurrences of such a pair of wo
 Those partitions hold one restaurant of the word together: after BURN_IN sweeps each
 learns what the others have of each of its dishes, and of customers and tables in all,
 as it learns the root's probabilities. So neither a frequent word nor a frequent pair of words makes a large
-task, and none is scored by a part of its customers only. How a large restaurant avoids
-long chains is in ``seating``.
+task, and none is scored by a part of its customers only.
+
+Words are read, messages made and subtrees sampled and scored by ``kernel``, one customer
+strictly after the other; only the root, and a model for other documents, are made by numpy
+(``_Held``), where a large restaurant's customers move in several chains (``seating``).
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import seating
 from millrace.llm.common import EXACT, SPACE, TMP, mix, pieces, shared_path, text_of, utf8, words, written
+from millrace.llm.kernel import Kernel
 from millrace.llm.seating import Hyper, Subtrees
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # before a text, twice, and after it; the latter is spelled as an empty word
@@ -55,7 +59,6 @@ COMMON = 60_000
 LEAST = -600.0
 #: Words of a partition, of some 100 bytes each at its peak; to be raised with the memory of executors.
 PART_WORDS = 1_000_000
-_CHUNK = 1_000_000  # words that are sent together
 _HALF = np.uint64(32)
 _LOW = np.uint64((1 << 32) - 1)
 _MULT = mix(np.arange(1, 4, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
@@ -135,55 +138,6 @@ def _unpack(raw: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
 
 
-def _slices(rows: Iterator, size: int) -> Iterator[list]:
-    """Rows (..., text) in lists of about ``size`` characters; a text is never cut."""
-    held, have = [], 0
-    for r in rows:
-        held.append(r)
-        have += len(r[-1] or "")
-        if have >= size:
-            yield held
-            held, have = [], 0
-    if held:
-        yield held
-
-
-def _base(logs: list[float], n: int):
-    def run(rows: Iterator) -> Iterator[tuple[int, bytes]]:
-        """To the root: words, the log probabilities of their spellings, and how often they occur."""
-        _lean()
-        weight, held, size, texts = np.array(logs), [], 0, 0
-
-        def merged() -> tuple[np.ndarray, ...]:
-            h, at, of = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-            return h, np.concatenate([x[1] for x in held])[at], np.bincount(of, np.concatenate([x[2] for x in held])).astype(np.int64)
-
-        def send(h: np.ndarray, p: np.ndarray, m: np.ndarray) -> Iterator[tuple[int, bytes]]:
-            to = _owner(h, n)
-            for q in np.unique(to).tolist():
-                yield q, _pack(("base", _steps(h[to == q]), _floats_sent(p[to == q]), _narrow(m[to == q])))
-
-        for part in _slices(rows, 2 << 20):
-            k = words(pa.array([r[0] for r in part], pa.string()), EXACT)
-            texts += len(part)
-            total = np.append(0.0, np.cumsum(weight[k.data]))
-            h, at, m = np.unique(k.hash, return_index=True, return_counts=True)
-            held.append((h, np.maximum(total[k.end[at]] - total[k.start[at]] + weight[0], LEAST).astype(np.float32), m))
-            size += len(h)
-            if size > 1_000_000:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 700_000:
-                    yield from send(*held.pop())
-                    size = 0
-        held.append((np.array([END]), np.array([weight[0]], np.float32), np.array([texts])))
-        yield from send(*merged())
-        held.clear()
-        _lean()
-
-    return run
-
-
 def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32 if x.max() < 1 << 32 else np.uint64)
 
@@ -271,64 +225,6 @@ class _Hot:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.counts[at], 0)
 
-    def bucket(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which part of the last word's restaurant each occurrence goes to; 0 for words that aren't hot."""
-        out = np.zeros(len(b), np.int64)
-        nb = self.count(b)
-        at = np.flatnonzero(nb > self.piece)
-        if len(at):
-            nb, na = nb[at], self.count(a[at])
-            shares = -(-nb // self.piece)
-            # a pair of two hot words may be hot itself: some times as frequent as by chance
-            often = np.where(b[at] == BEGIN, nb, np.minimum(np.minimum(na, nb), 4 * na.astype(np.float64) * nb / self.total))
-            parts = np.maximum(1, np.ceil(often / self.piece)).astype(np.int64)
-            out[at] = ((mix(a[at]) >> np.uint64(8)).astype(np.int64) % shares + np.arange(len(at)) % parts) % shares
-        return out
-
-
-def _occurrences(n: int, held_hot):
-    def run(number: int, rows: Iterator) -> Iterator[tuple[int, bytes]]:
-        """To the partition of the context's last word: words with contexts and documents; a chunk's documents themselves go to one of them."""
-        _lean()
-        hot, common = held_hot.value
-        source, held, ids, sizes, count = number << 32, [], [], [], 0
-
-        def flush() -> Iterator[tuple[int, bytes]]:
-            a, b, c, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            to = _owner(b + hot.bucket(a, b).astype(np.uint64) * _MULT[1], n).astype(np.uint16 if n < 1 << 16 else np.uint32)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(n + 1))
-            del to
-            doc = _narrow(doc)
-            yield source % n, _pack(("docs", source, np.concatenate(ids), np.concatenate(sizes)))
-            for q in np.flatnonzero(np.diff(edges)).tolist():
-                at = order[edges[q] : edges[q + 1]]
-                at = at[np.argsort(b[at], kind="stable")]
-                last = b[at]
-                first = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
-                yield q, _sent(source, common, a[at], c[at], doc[at], last[first], np.diff(np.append(first, len(at))))
-
-        for part in _slices(rows, 2 << 20):
-            texts = pa.array([r[1] for r in part], pa.string())
-            a, b, c, m = tokens(texts)
-            there = texts.is_valid().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(m)), m)
-            keep = there[doc]
-            held.append((a[keep], b[keep], c[keep], (doc[keep] + sum(map(len, sizes))).astype(np.uint32)))
-            ids.append(np.array([r[0] for r in part], object))
-            sizes.append(np.where(there, m, 0))
-            count += len(doc)
-            if count >= _CHUNK:
-                yield from flush()
-                source, held, ids, sizes, count = source + 1, [], [], [], 0
-        if held:
-            yield from flush()
-        held.clear()
-        _lean()
-
-    return run
-
 
 # -------- subtrees
 
@@ -435,12 +331,6 @@ class _Held:
     def subtrees(self) -> Subtrees:
         return Subtrees(self.n, self.leaf, self.two, self.dish, self.tree_of_leaf, self.same, self.same2, CAP)
 
-    def ask(self, p: int, n: int, s: Subtrees) -> Iterator[tuple[int, bytes]]:
-        """To the root: the customers of each word, in the order of :class:`_Dishes`."""
-        to = _owner(self.words_of(), n)
-        for q in np.unique(to).tolist():
-            yield q, _pack(("more", p, _narrow(s.local[to == q])))
-
     def divided(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Subtrees that lie in other partitions too; their dishes, by the first ``two`` of each, of which of those subtrees they are, their keys, and the partition of the root that each goes by."""
         trees = np.flatnonzero(self.hot.count(self.tree_word) > self.hot.piece)
@@ -452,14 +342,6 @@ class _Held:
         key = _key(self.tree_word[self.tree2[first]], self.known[self.dishes[self.dish[first]]])
         return trees, first, there[self.tree2[first]], key, _owner(key, n)
 
-    def share(self, p: int, n: int, s: Subtrees) -> Iterator[tuple[int, bytes]]:
-        """To the root: customers and tables of those dishes."""
-        trees, first, of, key, to = self.divided(n)
-        c, t = (x[first] if self.same2 is None else np.bincount(self.same2, x)[self.same2[first]].astype(np.int64) for x in (s.c2, s.t2))
-        for q in np.unique(to).tolist():
-            at = to == q
-            yield q, _pack(("share", p, self.tree_word[trees].tobytes(), _thin(of[at]), key[at].tobytes(), _thin(c[at]), _thin(t[at])))
-
     def rooted(self, n: int, total: float, d0: float) -> Subtrees:
         """Subtrees at their first seating, with the root's replies."""
         s, to = self.subtrees(), _owner(self.words_of(), n)
@@ -511,7 +393,7 @@ class _Held:
 
 def _counted(rows: Iterator[tuple[int, bytes]], share: float, total: int, common: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Number of words of a root partition, those of more than a share of all occurrences, with their counts, and so many common ones."""
-    base = [(_hashes(x[1]), _floats(x[2]), x[3]) for x in (_unpack(raw) for _, raw in rows)]
+    base = [(_hashes(x[1]), _floats(x[2]), _thick(x[3])) for x in (_unpack(raw) for _, raw in rows)]
     h, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in base)]), return_inverse=True)
     n = np.bincount(of, np.concatenate([np.zeros(0), *(x[2] for x in base)]), minlength=len(h)).astype(np.int64)
     at = n > share * total
@@ -527,7 +409,7 @@ def _root(rows: Iterator[tuple[int, bytes]], common: np.ndarray, shares: list |
             if shares is not None:
                 shares.append(x[1:])
         elif x[0] == "more":
-            later[x[1]] = x[2]
+            later[x[1]] = _thick(x[2])
         elif x[0] == "ask":
             asks.append((x[1], _words_named(common, x[2], x[3]), _thick(x[4])))
         else:
@@ -570,6 +452,12 @@ def _others(q: int, shares: list) -> Iterator[tuple[int, bytes]]:
         i = j
 
 
+def _counts(raw: bytes) -> list[np.ndarray]:
+    """As seating.Subtrees.counts, which the kernel sends as keys and times."""
+    found = [[np.frombuffer(x, np.int64) for x in pair] for pair in _unpack(raw)]
+    return [np.stack([key >> 32, key & 0xFFFFFFFF, times], 1) for key, times in found]
+
+
 class _Fit:
     """Occurrences by partition, with the root's replies, discounts and strengths."""
 
@@ -580,38 +468,22 @@ class _Fit:
         self.logs = byte_logs(total)
         many = int(total[:256][SPACE].sum() + total[256])  # words, or few less
         self.n = n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // part_words))
-        self.words = texts.rdd.mapPartitions(_base(self.logs, n)).partitionBy(n, _same)
+        self.kernel = Kernel(docs.sparkSession, ints=(n, max(CAP, part_words // HOT), CAP, BURN_IN, SAMPLES), logs=self.logs)
+        self.words = self.kernel.of_rows("base", texts).partitionBy(n, _same)
         found = self.words.mapPartitions(lambda part: [_counted(part, 1 / (HOT * n), many, COMMON // n)]).collect()  # fewer than HOT n + COMMON words in all
         self.kinds = max(1, sum(x[0] for x in found))
         hashes, counts = (np.concatenate([x[k] for x in found]) for k in (1, 2))
         ends = counts[hashes == END].sum()
         hot = docs.sparkSession.sparkContext.broadcast((_Hot(np.append(hashes, BEGIN), np.append(counts, ends), many, max(CAP, part_words // HOT)), np.sort(np.concatenate([x[3] for x in found]))))
         self.hot = hot
-        self.rows = rows.rdd.mapPartitionsWithIndex(_occurrences(n, hot)).partitionBy(n, _same)
-
-        def first(p: int, part: Iterator) -> Iterator:
-            yield from _Dishes(part, hot.value[1]).ask(p, n)
-
-        self.asks, _ = self._told(self.rows.mapPartitionsWithIndex(first))
+        self.kernel = self.kernel.told(common=hot.value[1], hot=hot.value[0].hashes, hot_count=hot.value[0].counts, hot_total=float(hot.value[0].total))
+        self.rows = self.kernel.of_rows("occurrences", rows).partitionBy(n, _same)
+        self.asks, _ = self._told(self.kernel.of_messages("dishes", self.rows))
         self.hyper = Hyper((0.5, 0.7, 0.8), (1.0, 1.0, 1.0))  # drawn below
         self.reply(self.asks)
-        hyper, total = self.hyper, self.total
-
-        def again(p: int, part: Iterator) -> Iterator:
-            held = _Held(part, hot)
-            s = held.rooted(n, total, hyper.d[0])
-            if len(s.n):
-                rng = np.random.default_rng([p, 1])
-                for _ in range(BURN_IN):
-                    s.sweep(hyper, rng, False)
-                yield -1, _pack(s.counts())
-                yield from held.ask(p, n, s)
-                yield from held.share(p, n, s)
-            _lean()
-
-        asks, got = self._told(self.rows.union(self.replies).mapPartitionsWithIndex(again))
+        asks, got = self._told(self._sampled("again"))
         # numbers of dishes by customers and tables, at most CAP, and of restaurants by either, at most a partition's worth: small, however large the corpus
-        seats = [reduce(seating.add_counts, x, np.zeros((0, 3), np.int64)) for x in zip(*map(_unpack, got), strict=True)] or [np.zeros((0, 3), np.int64)] * 4
+        seats = [reduce(seating.add_counts, x, np.zeros((0, 3), np.int64)) for x in zip(*map(_counts, got), strict=True)] or [np.zeros((0, 3), np.int64)] * 4
         rng = np.random.default_rng(11)
         drawn = [seating.draw_hyper(seats[2 * k], seats[2 * k + 1], self.hyper.s[k + 1], rng) for k in range(2)]
         self.hyper = Hyper((self.hyper.d[0], *(x[0] for x in drawn)), (self.hyper.s[0], *(x[1] for x in drawn)))
@@ -623,6 +495,10 @@ class _Fit:
         told = sent.filter(lambda x: x[1][:1] == b"!").map(lambda x: x[1][1:]).collect()
         return sent.filter(lambda x: x[1][:1] != b"!"), told
 
+    def _sampled(self, what: str) -> RDD:
+        """Each partition's subtrees sampled; "again": to the root and the driver; "final": the documents' sums."""
+        return self.kernel.told(total=self.total, d=self.hyper.d, s=self.hyper.s).of_messages(what, self.rows.union(self.replies))
+
     def reply(self, asks: RDD) -> None:
         both, hot = self.words.union(asks), self.hot
 
@@ -660,9 +536,13 @@ class _Fit:
         self.replies = both.mapPartitionsWithIndex(answers).partitionBy(self.n, _same)
         self.root_model = both.mapPartitionsWithIndex(model)
 
-    def final(self, use: Callable, model: bool = False) -> RDD:
-        """use(partition, what it holds, its subtrees, means over the samples of Subtrees.sweep and, for a model, all but the first of Subtrees.predict) of each partition."""
-        n, hyper, total, hot = self.n, self.hyper, self.total, self.hot
+    def sums(self) -> RDD:
+        """Messages to the partitions of the documents: they themselves, and sums of log probabilities."""
+        return self._sampled("final")
+
+    def final(self, use: Callable) -> RDD:
+        """For a model, use(partition, what it holds, its subtrees, means over the samples of Subtrees.sweep and all but the first of Subtrees.predict) of each partition."""
+        n, hyper, total, hot = self.n, self.hyper, self.total, self.hot  # by numpy: the kernel makes no model
 
         def run(p: int, part: Iterator) -> Iterator:
             held = _Held(part, hot)
@@ -674,7 +554,7 @@ class _Fit:
             for k in range(BURN_IN + SAMPLES):
                 away = s.sweep(hyper, rng, k >= BURN_IN)
                 if k >= BURN_IN:
-                    now = [away, *s.predict(hyper)[1:]] if model else [away]
+                    now = [away, *s.predict(hyper)[1:]]
                     mean = [x / SAMPLES for x in now] if mean is None else [x + y / SAMPLES for x, y in zip(mean, now, strict=True)]
             yield from use(p, held, s, mean)
             del held, s, mean
@@ -698,7 +578,7 @@ def _summed(part: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
         total = np.zeros(len(ids))
         for at, x in sums.get(source, []):
             total[np.cumsum(_thick(at), dtype=np.int64)] += _floats(x)
-        for i, m, x in zip(ids, sizes.tolist(), total.tolist(), strict=True):
+        for i, m, x in zip(ids, (_thick(sizes) if isinstance(sizes, tuple) else sizes).tolist(), total.tolist(), strict=True):
             yield (i, m, x, float(np.exp(-x / m))) if m else (i, None, None, None)
 
 
@@ -710,8 +590,7 @@ def perplexities(docs: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     both training and scoring.
     """
     fit = _Fit(docs, part_words)
-    n = fit.n
-    out = fit.final(lambda p, held, s, found: held.scores(np.zeros(0) if found is None else found[0], n)).partitionBy(n, _same).mapPartitions(_summed)
+    out = fit.sums().partitionBy(fit.n, _same).mapPartitions(_summed)
     return docs.sparkSession.createDataFrame(out, _SCORES, verifySchema=False)
 
 
@@ -731,7 +610,7 @@ def train(docs: DataFrame, part_words: int = PART_WORDS) -> str:
     """Count, sample and write the model; returns its place in the shared folder. The restaurants of one context are one there, weighted by their customers."""
     spark = docs.sparkSession
     fit, place = _Fit(docs, part_words), shared_path(spark, "lm")
-    parts = fit.final(lambda p, held, s, found: () if found is None else held.model(s, *found[1:]), True).union(fit.root_model).map(lambda x: (bytearray(pickle.dumps(x, 5)),))
+    parts = fit.final(lambda p, held, s, found: () if found is None else held.model(s, *found[1:])).union(fit.root_model).map(lambda x: (bytearray(pickle.dumps(x, 5)),))
     rows = spark.createDataFrame(parts, "x binary", verifySchema=False).mapInArrow(_rows, _MODEL)
     rows.groupBy("kind", "g").agg(F.sum("p").alias("p"), F.sum("w").alias("w")).write.parquet(place + "/model")
     spark.createDataFrame([(fit.logs, float(fit.backoff))], "logs array<double>, backoff double").coalesce(1).write.parquet(place + "/spelling")

@@ -262,3 +262,109 @@ def test_messages_are_small_and_give_back_what_they_took():
     assert len(sent[1][1]) < 5 * m
     for i, _, x, _ in lm._summed(iter(sent)):
         assert abs(x - np.log(p[i])) <= 1e-7 * abs(np.log(p[i]))
+
+
+ODD = ["", None, "a b  c", "一二 三x日本 ok", "  wide space　end\u0085", "tab\tnew\nline\x0b\x0c\r x", "é ü ไทย \U00020000y", "a " * 300, "b", "same same", "same same"]
+
+
+def kernel_run(spark, rows, n):
+    """A kernel, and the words and occurrences of rows (doc_id, text) by its messages."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kernel = lm.Kernel(spark, ints=(n, 10, 10, lm.BURN_IN, 200), logs=(-0.01 * np.arange(1.0, 257.0)).tolist())
+    base = kernel.of_rows("base", docs.select("text").filter("text is not null")).collect()
+    found = lm._counted(iter(base), 0.05, 100, 4)
+    hot = lm._Hot(found[1], found[2], 700, 10)
+    kernel = kernel.told(common=np.sort(found[3]), hot=hot.hashes, hot_count=hot.counts, hot_total=700.0)
+    return kernel, base, (hot, np.sort(found[3])), kernel.of_rows("occurrences", docs).collect()
+
+
+def test_the_kernel_reads_words_as_numpy_does(spark):
+    """Every occurrence once, with the words before it and its document; words and spellings; white space and scripts of all kinds, nulls and empty texts."""
+    import pyarrow as pa
+
+    _, base, (hot, common), sent = kernel_run(spark, list(enumerate(ODD)), 3)
+    a, b, c, sizes = lm.tokens(pa.array(ODD, pa.string()))
+    there = np.repeat([x is not None for x in ODD], sizes)
+    want = sorted(zip(*(x[there].tolist() for x in (a, b, c, np.repeat(np.arange(len(ODD)), sizes))), strict=True))
+    got = []
+    for q, raw in sent:
+        x = lm._unpack(raw)
+        if x[0] == "docs":
+            assert q == x[1] % 3 and x[2] == list(range(len(ODD))) and lm._thick(x[3]).tolist() == np.where([t is not None for t in ODD], sizes, 0).tolist()
+            continue
+        w = lm._Words(x, common)
+        last = np.repeat(w.lasts, w.many)
+        assert all(hot.count(np.array([h]))[0] > hot.piece or lm._owner(np.array([h]), 3)[0] == q for h in w.lasts)
+        got += zip(w.known[w.a].tolist(), last.tolist(), w.known[w.c].tolist(), w.doc.tolist(), strict=True)
+    assert sorted(got) == want and any(hot.counts > hot.piece)
+    words_of, spelled, times = (np.concatenate(x) for x in zip(*((lm._hashes(x[1]), lm._floats(x[2]), lm._thick(x[3])) for x in (lm._unpack(raw) for _, raw in base)), strict=True))
+    k = words(pa.array(ODD, pa.string()), EXACT)
+    hashes, first, counts = np.unique(k.hash, return_index=True, return_counts=True)
+    order = np.argsort(words_of)
+    assert words_of[order].tolist() == sorted([*hashes.tolist(), int(lm.END)]) and times.sum() == counts.sum() + 10
+    logs = -0.01 * np.arange(1.0, 257.0)
+    for h, i, m in zip(hashes, first, counts, strict=True):
+        at = np.flatnonzero(words_of == h)[0]
+        assert times[at] == m and spelled[at] == pytest.approx(logs[k.data[k.start[i] : k.end[i]]].sum() + logs[0], rel=1e-6)
+
+
+def test_the_kernel_samples_as_numpy_does(spark, monkeypatch):
+    """Documents' sums of one partition, with hot words and dishes in parts: the same means by either."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.3)), 9)}" for _ in range(30))) for i in range(20)]
+    kernel, base, held_hot, sent = kernel_run(spark, rows, 1)
+    asked = kernel.of_messages("dishes", spark.sparkContext.parallelize(sent, 2).partitionBy(1, lm._same)).collect()
+    asks = lm._root(iter(base + asked), held_hot[1])[3]
+    replies = [(0, lm._pack(("root", 0, lm._floats_sent(np.log(np.full(len(asks[0][1]), 0.01))))))]
+    h = seating.Hyper((0.5, 0.6, 0.7), (1.0, 2.0, 0.5))
+    there = spark.sparkContext.parallelize(sent + replies, 2).partitionBy(1, lm._same)
+    by_kernel = list(lm._summed(iter(kernel.told(total=700.0, d=h.d, s=h.s).of_messages("final", there).collect())))
+
+    class Broadcast:
+        value = held_hot
+
+    monkeypatch.setattr(lm, "CAP", 10)
+    held = lm._Held(iter(sent + replies), Broadcast)
+    s, gen = held.rooted(1, 700.0, h.d[0]), np.random.default_rng(1)
+    assert s.same is not None and s.same2 is not None
+    for _ in range(lm.BURN_IN):
+        s.sweep(h, gen, False)
+    p = sum(s.sweep(h, gen) for _ in range(200)) / 200
+    want = np.zeros(20)
+    for _, doc in held.sources:
+        want += np.bincount(doc, np.log(p[held.gram]), minlength=20)
+    assert np.allclose([x[2] for x in sorted(by_kernel)], want, rtol=0.02), np.max(np.abs([x[2] for x in sorted(by_kernel)] / want - 1))
+
+
+def test_the_kernel_takes_less_time_than_numpy(spark):
+    """A partition of 200,000 occurrences, built and swept as often by either; by numpy the budget of CPU time was exceeded."""
+    import time
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.5)), 30_000)}" for _ in range(500))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kernel = lm.Kernel(spark, ints=(1, 62_500, lm.CAP, lm.BURN_IN, 20), logs=[-4.0] * 256).told(total=2e5, d=(0.5, 0.7, 0.8), s=(1.0, 1.0, 1.0))
+    sent = kernel.of_rows("occurrences", docs).collect()
+    none = np.zeros(0, np.uint64)
+    dishes = lm._Dishes(iter(sent), none)
+    sent.append((0, lm._pack(("root", 0, lm._floats_sent(np.full(len(dishes.words), -9.0))))))
+    there = spark.sparkContext.parallelize(sent, 1).partitionBy(1, lm._same).cache()
+
+    class Broadcast:
+        value = (lm._Hot(none, np.zeros(0, np.int64), 200_000, 62_500), none)
+
+    def by_numpy():
+        s, h, gen = lm._Held(iter(sent), Broadcast).rooted(1, 2e5, 0.5), seating.Hyper((0.5, 0.7, 0.8), (1.0, 1.0, 1.0)), np.random.default_rng(1)
+        for k in range(lm.BURN_IN + 20):
+            s.sweep(h, gen, k >= lm.BURN_IN)
+
+    def seconds(run):
+        began = time.perf_counter()
+        run()
+        return time.perf_counter() - began
+
+    run = lambda: kernel.of_messages("final", there).count()
+    run()  # code is compiled
+    by_kernel, numpy_s = min(seconds(run) for _ in range(2)), seconds(by_numpy)
+    print(by_kernel, numpy_s)
+    assert by_kernel < 0.7 * numpy_s, (by_kernel, numpy_s)
