@@ -37,6 +37,19 @@ def _query(name: str, oracle: str):
     return add
 
 
+# ---- relational queries whose SQL, planned as it is, doesn't do for large tables
+
+
+@_query("agg_approx", ORACLE_SQL["agg_approx"])
+def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are counted apart: in one aggregation with a DISTINCT each key would get a sketch, a digest and a table of quantities of its own, to be merged one by one."""
+    t = table(spark, sf_dir, "lineitem")
+    keys = t.agg(F.count_distinct("l_partkey").alias("n"))
+    a = t.agg(F.approx_count_distinct("l_partkey").alias("near"), F.percentile_approx("l_quantity", 0.5).alias("mid_near"), F.percentile("l_quantity", 0.5).alias("mid"))
+    near = F.abs(F.col("near") / F.col("n") - 1) < 0.15
+    return a.crossJoin(F.broadcast(keys)).select(near.alias("distinct_near"), (F.abs(F.col("mid_near") - F.col("mid")) <= 1).alias("median_near"))  # one row each
+
+
 # ---- full text
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from millrace.operators import access, search
 from millrace.plans import queries
 from millrace.plans.queries import QUERIES
+from millrace.plans.relational import SQL
 from millrace.sources import store
+from millrace.sources.tables import sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -163,3 +165,12 @@ def test_filters_reach_files_and_partitions(spark):
     assert "PartitionFilters: [part" in plan and "pmax" not in plan.split("PartitionFilters")[1].split("]")[0]
     parts = queries.partitioned_orders(spark, SF)
     assert {r[0] for r in parts.select("part").distinct().collect()} <= {"p0", "p1", "p2", "pmax"}
+
+
+def test_no_key_has_a_sketch_of_its_own(spark, tmp_path):
+    plan = QUERIES["agg_approx"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[l_partkey" in plan and not [x for x in plan.splitlines() if "keys=[l_partkey" in x and ("percentile" in x or "approx" in x)]
+    rows = [(i % 7 or None, float(i % 5) if i % 11 else None) for i in range(1000)]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got, want = QUERIES["agg_approx"](spark, f"file://{tmp_path}"), sql(spark, f"file://{tmp_path}", SQL["agg_approx"][0])
+    assert got.dtypes == want.dtypes and got.collect() == want.collect()
