@@ -1,4 +1,4 @@
-"""Boxes, vectors, expiry, JSON and changes of rows as Column and DataFrame functions."""
+"""Boxes, vectors, expiry, JSON, joins by ranges and changes of rows as Column and DataFrame functions."""
 
 from __future__ import annotations
 
@@ -179,6 +179,38 @@ def ttl_visible(df: DataFrame, expiry: str, as_of: Column) -> DataFrame:
     return df.filter(F.col(expiry).isNull() | (F.col(expiry) > as_of))
 
 
+# ---- joins
+
+
+def _part(v: Column, cuts: Sequence[float]) -> Column:
+    """How many of ``cuts`` are below ``v``."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < v)) if cuts else F.lit(0)
+
+
+def count_in_ranges(spans: DataFrame, points: DataFrame, group: str, on: tuple[str, str], low: Column, high: Column, at: str, parts: int = 64) -> DataFrame:
+    """(``group``, n): by the group of a span, how many pairs of a span and a point agree in ``on`` (the spans' column, the points') and have low <= at <= high.
+
+    No pair is made: a running sum counts the points up to each end of a span, and a
+    span has those up to its high end less those before its low one. Rows are cut at
+    quantiles of all ends and points, and the sums of parts give each its start, so
+    that no task has all rows of one ``on``. Groups without a pair are left out.
+    """
+    s, p = F.col(on[0]), F.col(on[1])
+    end = lambda v, sign: F.struct(v.alias("_mr_v"), F.lit(sign).alias("_mr_k"))
+    ends = spans.filter(s.isNotNull() & (low <= high)).select(s.alias("_mr_s"), F.col(group), F.explode(F.array(end(low, -1), end(high, 1))).alias("_mr_e"))
+    ends = ends.select("_mr_s", "_mr_e.*", group, F.lit(0).cast("long").alias("_mr_n"))
+    known = points.filter(p.isNotNull() & F.col(at).isNotNull()).groupBy(p.alias("_mr_s"), F.col(at).alias("_mr_v")).agg(F.count(F.lit(1)).alias("_mr_n"))
+    rows = ends.unionByName(known.withColumn("_mr_k", F.lit(0)), allowMissingColumns=True)  # of one value: low ends, points, high ends
+    cuts = rows.select("_mr_v").distinct().agg(F.percentile_approx("_mr_v", [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    rows = rows.withColumn("_mr_p", _part(F.col("_mr_v"), sorted(set(cuts or []))))
+    sums = rows.groupBy("_mr_s", "_mr_p").agg(F.sum("_mr_n").alias("_mr_m"))
+    before = F.sum("_mr_m").over(Window.partitionBy("_mr_s").orderBy("_mr_p")) - F.col("_mr_m")  # parts rows
+    starts = sums.select(F.col("_mr_s").alias("_mr_t"), F.col("_mr_p").alias("_mr_q"), before.alias("_mr_o"))
+    upto = F.sum("_mr_n").over(Window.partitionBy("_mr_s", "_mr_p").orderBy("_mr_v", "_mr_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.withColumn("_mr_r", upto).filter("_mr_k <> 0").join(starts, (F.col("_mr_s") == F.col("_mr_t")) & (F.col("_mr_p") == F.col("_mr_q")))
+    return found.groupBy(group).agg(F.sum(F.col("_mr_k") * (F.col("_mr_r") + F.col("_mr_o"))).alias("n")).filter("n > 0")
+
+
 # ---- changes of rows
 
 
@@ -273,8 +305,7 @@ def numbered(df: DataFrame, order: str, name: str, after: int = 0, parts: int =
     give each its first number, so no task has all rows. Nulls come first.
     """
     cuts = sorted(set(df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))  # parts numbers
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("_mr_p", F.when(F.col(order).isNull(), -1).otherwise(part))
+    rows = df.withColumn("_mr_p", F.when(F.col(order).isNull(), -1).otherwise(_part(F.col(order), cuts)))
     counts = rows.groupBy("_mr_p").agg(F.count(F.lit(1)).alias("_mr_n"))
     offsets = counts.select(F.col("_mr_p").alias("_mr_q"), (F.sum("_mr_n").over(Window.orderBy("_mr_p")) - F.col("_mr_n")).alias("_mr_o"))  # parts rows
     own = F.row_number().over(Window.partitionBy("_mr_p").orderBy(F.col(order).asc_nulls_first()))

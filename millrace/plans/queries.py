@@ -50,6 +50,13 @@ def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.crossJoin(F.broadcast(keys)).select(near.alias("distinct_near"), (F.abs(F.col("mid_near") - F.col("mid")) <= 1).alias("median_near"))  # one row each
 
 
+@_query("join_range", ORACLE_SQL["join_range"])
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are counted, not paired: of a nation's suppliers and customers the pairs grow as the square."""
+    s, c, mid = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), F.col("s_acctbal")
+    return access.count_in_ranges(s, c, "s_suppkey", ("s_nationkey", "c_nationkey"), mid - 500, mid + 500, "c_acctbal")
+
+
 # ---- full text
 
 

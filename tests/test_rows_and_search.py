@@ -174,3 +174,28 @@ def test_no_key_has_a_sketch_of_its_own(spark, tmp_path):
     spark.createDataFrame(rows, "l_partkey long, l_quantity double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
     got, want = QUERIES["agg_approx"](spark, f"file://{tmp_path}"), sql(spark, f"file://{tmp_path}", SQL["agg_approx"][0])
     assert got.dtypes == want.dtypes and got.collect() == want.collect()
+
+
+def test_range_join_counts_without_pairs(spark, tmp_path):
+    plan = QUERIES["join_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "acctbal" in x] and "windowspecdefinition(_mr_s" in plan
+    at, root = [0.0, -0.0, 500.0, 500.01, -500.0, 999.99, 1000.0, 7.5, 7.5, math.nan, math.inf, -math.inf, 1e300, None], f"file://{tmp_path}"
+    rows = [(k, v) for k in (1, 2, None) for v in at]
+    customers = [(i, 3 if k == 2 else k, v) for i, (k, v) in enumerate(rows * 2)]  # nations of one side only, repeated rows
+    spark.createDataFrame([(i % 9 or None, k, v) for i, (k, v) in enumerate(rows)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{root}/supplier.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{root}/customer.parquet")
+    got, want = QUERIES["join_range"](spark, root), sql(spark, root, SQL["join_range"])
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) != []
+    for name in ("supplier", "customer"):
+        spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(f"{root}/none/{name}.parquet")
+    assert QUERIES["join_range"](spark, f"{root}/none").collect() == []
+
+
+def test_range_join_of_one_nation_is_cut(spark):
+    """20,000 spans and points of one nation, each pair within reach; and spans that end before they begin."""
+    t = spark.range(20_000).select("id", F.lit(1).alias("k"), (F.col("id") % 1000 / 10).alias("v"))
+    got = access.count_in_ranges(t, t, "id", ("k", "k"), F.col("v") - 500, F.col("v") + 500, "v")
+    assert [tuple(r) for r in got.agg(F.count("id"), F.min("n"), F.max("n")).collect()] == [(20_000, 20_000, 20_000)]
+    near = access.count_in_ranges(t, t, "id", ("k", "k"), F.col("v"), F.col("v"), "v", parts=5)
+    assert [tuple(r) for r in near.agg(F.count("id"), F.min("n"), F.max("n")).collect()] == [(20_000, 20, 20)]
+    assert access.count_in_ranges(t, t, "id", ("k", "k"), F.col("v") + 1, F.col("v"), "v").isEmpty()
